@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(least, "least")  # a table, so that the join can split a hub's rows
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large-star")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         pairs = large.join(least, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(pairs.select("u", F.col("m").alias("v"))).distinct(), "edges")

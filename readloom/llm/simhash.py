@@ -194,7 +194,9 @@ def near_duplicates(
     roots = connected_components(link_fingerprints(kinds.select("fp"), reach))
     named = kinds.join(roots, kinds.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # Both sides of the join are tables, so a fingerprint that a third of all rows have is split among tasks.
+    by_fp = materialize(named.join(least, "root").select("fp", "component_id"), "simhash-components")
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str) -> F.Column:

@@ -119,6 +119,7 @@ def judge_urls(
         judged = judged.withColumn("best", F.lit(None).cast("struct<needs:array<string>,verdict:string>"))
     else:
         judged = judged.join(found, ["host", "path"], "left")
+    judged = materialize(judged, "url-judged")  # a table, so that the join can split the rows of a hot URL
     return rows.join(judged, ["host", "path"]).select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"),
         F.coalesce("listed.verdict", "best.verdict", F.lit(default)).alias("verdict"),

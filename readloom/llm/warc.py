@@ -135,6 +135,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "2
         F.sha2(html, 256).alias("key"), F.octet_length(html).alias("size"),
     )
     first = rows.where(F.col("size") >= least).groupBy("key", "size").agg(F.max("page_id").alias("first_id"))
+    first = materialize(first, "warc-first")  # a table, so that the join can split the rows of a hot payload
     dealt = rows.join(first, ["key", "size"], "left").select(
         "page_id", "url", "html", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")).when(F.col("page_id").isNull(), F.col("first_id")).alias("refers_to")
     )
