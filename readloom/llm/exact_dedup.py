@@ -44,6 +44,7 @@ def exact_groups(
     )
     by_length = rows.groupBy(*key, "len").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     groups = by_length.groupBy(*key).agg(F.max_by("least_id", "len").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = materialize(groups, "exact-groups")  # a table, so that the join can split the rows of a hot group
     return rows.join(groups, key).select(
         "doc_id",
         "keep_id",
