@@ -2,7 +2,7 @@
 
 Model: h = mean of E[bucket] over all word and n-gram occurrences, logits = h W + b, softmax over two classes, trained
 by plain stochastic gradient descent in numpy. The training rows are a bounded sample of the labelled rows (``per_class``
-rows of each class by a hash of the id, together at most ``max_chars`` characters, whole texts only); they come to
+rows of each class, drawn by a hash of the id; together at most ``max_chars`` characters, whole texts only); they come to
 the driver. Scores cover every row. As the output layer is linear, the difference of the two logits is a mean of one
 number per bucket, so executors get one vector of 2^18 floats and look up words, not embeddings. Word bigrams enter
 by their pattern alone, which two buckets hold: the word repeats the one before it, or not (each counts PATTERN times).
@@ -135,11 +135,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars:
         .groupBy("doc_id")
         .agg(F.round(F.avg("quality")).cast("int").alias("quality"))
         .where(~held_out())
-        .withColumn("draw", F.xxhash64(F.lit("quality"), "doc_id"))
+        .withColumn("draw", F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 40)))
     )
-    # Twice the number: some labels have no document. At most 4 * per_class rows of 20 bytes.
-    drawn = [votes.where(F.col("quality") == q).orderBy("draw").limit(2 * per_class) for q in (0, 1)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))
+    n = {r.quality: r["count"] for r in votes.groupBy("quality").count().collect()}
+    # About twice the number of each class: some labels have no document. Some 4 * per_class rows of 20 bytes.
+    least = [int((1 << 40) * min(1.0, 2 * per_class / n.get(q, 1))) for q in (0, 1)]
+    drawn = F.broadcast(votes.where(F.col("draw") < F.when(F.col("quality") == 0, least[0]).otherwise(least[1])))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     by_class = W.partitionBy("quality").orderBy("draw", "text")
     run = W.orderBy("turn", "quality").rowsBetween(W.unboundedPreceding, 0)
