@@ -34,7 +34,7 @@ SEED = 42
 SAMPLE = 1 << 15
 SHARD = 1 << 14
 MAX_SHARDS = 1 << 12
-LEAF = 192
+LEAF = 512
 BLOCK = 1 << 15
 
 
@@ -129,6 +129,10 @@ def best_cut(points: np.ndarray, reach: int) -> tuple[np.uint64, int, np.ndarray
 
 def leaf_stars(points: np.ndarray, reach: int) -> list[np.ndarray]:
     """Components (of two or more) of distinct points linked at ``reach`` or fewer differing bits."""
+    if len(points) <= LEAF:
+        near = np.bitwise_count(points[:, None] ^ points) <= reach
+        linked = np.count_nonzero(near, axis=1) > 1
+        points = points[linked]  # most have no partner
     out, left = [], points
     while len(left) > 1:
         members, frontier = [left[:1]], [left[0]]
@@ -163,7 +167,9 @@ def shard_stars(points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]
 def link_fingerprints(fps: DataFrame, reach: int = 3) -> DataFrame:
     """(a, b): links whose components are those of all pairs of the distinct column fp within ``reach`` bits."""
     n = fps.count()
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # About SAMPLE of them, by a hash, whatever the number of partitions.
+    drawn = fps.where(F.pmod(F.xxhash64("fp", F.lit("vantage")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(n, 1))))
+    sample = np.sort(drawn.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
     shards = min(MAX_SHARDS, max(1, n // SHARD))
     tree = VantageTree(sample, max(LEAF, len(sample) // shards), shards, reach)
 
@@ -181,7 +187,7 @@ def link_fingerprints(fps: DataFrame, reach: int = 3) -> DataFrame:
         a, b = shard_stars(points, reach)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = fps.select("fp").mapInArrow(route, "shard int, fp long")
+    dealt = fps.select("fp").mapInArrow(route, "shard int, fp long").repartition(shards, "shard")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
