@@ -106,6 +106,7 @@ def mixed(
         .agg(F.min(F.struct("bucket", (F.col("end") - F.col("bucket_size")).alias("begin"))).alias("cut"))
     )
     plan = plan.alias("p").join(cuts.alias("c"), _same_source("p", "c"), "left").select("p.*", "c.cut")
+    plan = materialize(plan, "mix-cuts")  # a table, so that the join can split the rows of a hot source
     at = (
         rows.alias("r")
         .join(plan.alias("p"), _same_source("r", "p"))
