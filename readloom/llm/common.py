@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The key of a row among those of its table, where a stage carries one.
+ROW = "readloom_row"
+
 _own_dir: str | None = None
 
 
@@ -44,6 +47,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique key per row in column ROW; written once, as a key that is computed again may differ."""
+    return docs if ROW in docs.columns else materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 

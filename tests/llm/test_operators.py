@@ -275,3 +275,26 @@ def test_pipeline(spark, data):
     assert Counter(r.doc_id for r in rows) == Counter({d: n for d, n in mix.items() if n})
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_similar_groups(spark, data):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    r = np.random.default_rng(6)
+    base = [f"b{r.integers(9999)}" for _ in range(200)]
+    for i in range(40):  # a group of near copies, more than REPS, that differ by far more than 3 bits
+        copy = list(base)
+        for at in r.choice(200, r.integers(1, 5), replace=False):
+            copy[at] = f"x{i}y{at}"
+        docs.append((10_000 + i, " ".join(copy)))
+    docs += [(20_000, " ".join(base[:100] + [f"z{i}" for i in range(100)])), (20_001, "short one"), (20_002, "short  ONE"), (20_003, "short two")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in ((t or "").lower().split() for _, t in docs)]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    least = {}
+    for k, (doc_id, _) in zip(root, docs, strict=True):
+        least[k] = min(least.get(k, doc_id), doc_id)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == sorted(least.values())
