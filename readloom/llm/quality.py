@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import text_or_empty
+from readloom.llm.common import ROW, text_or_empty
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -158,7 +158,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars:
 def quality_scores(
     docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 2500, max_chars: int = 20_000_000
 ) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted. Only ids and texts of ``docs`` are read."""
+    """One row per input row: doc_id, held_out, score, predicted, and the row key of ``docs`` if it has one."""
     sample = training_rows(docs, labels, per_class, max_chars)
     truth = [r.quality for r in sample]
     if len(set(truth)) == 2:
@@ -178,8 +178,9 @@ def quality_scores(
         for b in batches:
             z = scorer.logits(b.column(1).to_pylist()) if b.num_rows else np.empty(0)
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *b.columns[2:]], ["doc_id", "score", *key])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    key = [ROW] if ROW in docs.columns else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *key)
+    scored = rows.mapInArrow(run, "doc_id long, score double" + "".join(f", {k} long" for k in key))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *key)

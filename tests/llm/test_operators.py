@@ -298,3 +298,26 @@ def test_similar_groups(spark, data):
         least[k] = min(least.get(k, doc_id), doc_id)
     got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(x.doc_id for x in got.collect()) == sorted(least.values())
+
+
+def test_similar_rows_without_ids(spark):
+    rows = [(None, f"{w} text number {w} of its own and {w} more") for w in ("first", "second", "third")] + [(5, "some five word long text"), (5, "a wholly different text of this id"), (None, "some five word long text")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows[:5], key=str)
+
+
+def test_rows_are_judged_by_themselves(spark, tmp_path):
+    import corpus_pipeline
+
+    r = np.random.default_rng(1)
+    good = [" ".join(r.choice(["the", "of", "and", "tion", "other", "then"], 60)) for _ in range(150)]
+    bad = [" ".join(r.choice(["BUY!!", "$$$", "###", "click%%"], 60)) for _ in range(60)]
+    more = [(None, good[0]), (None, bad[0]), (900, good[1]), (900, bad[1])]
+    spark.createDataFrame([(i, int(i < 150)) for i in range(210)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(list(enumerate(good + bad)) + more, "doc_id long, text string")
+    kept = Counter((x.doc_id, x.text) for x in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect())
+    assert kept == Counter([*enumerate(good), more[0], more[2]])
+    bench = spark.createDataFrame([(1, bad[0])], "item_id long, text string")
+    rows = [(None, bad[0]), (None, good[0]), (7, bad[0]), (7, good[1])]
+    left = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert left.columns == ["doc_id", "text"] and Counter(map(tuple, left.collect())) == Counter([rows[1], rows[3]])
