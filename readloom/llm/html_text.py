@@ -10,14 +10,15 @@ which are merged in two steps, and a host with a third of all pages costs a row
 What a page's text is: elements that are chrome by their tag, role or class go (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles); then, if the page has article or main elements, their blocks stay; else
 those below the wrapper's main place: the deepest that holds most of the host's variable text. Constants of the
-wrapper are dropped outside article and main, and inside where a class or id marks a short block that is the same on
-five pages or more, headings excepted. On hosts without variable text (copies of one page) nothing counts as constant.
+wrapper (the same on three different pages or more) are dropped outside article and main, and inside where a class or id
+marks a short block that is the same on five different pages or more, headings excepted. Pages of the same blocks count as one page
+there, so copies of a page do not make its text constant; a text on fewer pages counts as variable. On hosts without variable text nothing counts as constant.
 
 Inside a block white space (br included) becomes one space; blocks are joined by two line feeds. Defined cases: null
 and empty html give an empty text; unclosed and misnested elements are closed where HTML closes them; a page that ends
 within a comment, script or style loses that rest; null or malformed urls form the host ''; rows that repeat
 an id are extracted one by one; other columns are ignored; an empty table gives an empty result. A wrapper holds 4,000 places
-at most (the most frequent): that bounds memory and only ever leaves text in.
+at most (the most frequent).
 """
 
 from __future__ import annotations
@@ -67,6 +68,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 _DEEP = 40
 _PLACES = 4000
+_DIFFER = 5  # page hashes that are kept of a place: as many as the decisions ask for
 #: Open elements that an opening tag closes, and the elements that stop the search for them.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -202,9 +204,9 @@ def read_page(html: str) -> tuple[list[Block], Counter[str]]:
 
 
 class Wrapper:
-    """A host's union-free expression: by place (pages that have it, most times on a page, characters, constant).
+    """A host's union-free expression: by place (pages that have it, most times on a page, characters, constant, hashes of pages).
 
-    The constant is the text's hash while all pages agree, False once it is a slot, None while there is no text.
+    The hashes are the _DIFFER least of the different pages, which is enough to know whether there are so many. The constant is the text's hash while all pages agree, False once it is a slot, None while there is no text.
     """
 
     def __init__(self, pages: int = 0, places: dict[str, list] | None = None):
@@ -212,9 +214,10 @@ class Wrapper:
 
     def align(self, blocks: list[Block], places: Counter[str]) -> None:
         """Align one more page."""
-        page = {p: [1, n, 0, None] for p, n in places.items()}
+        own = [xxhash.xxh64_intdigest("\0".join(x for b in blocks for x in (b.place, b.text))) >> 1]
+        page = {p: [1, n, 0, None, own] for p, n in (Counter({"": 1}) | places).items()}
         for b in blocks:
-            node = page.setdefault(b.place, [1, 1, 0, None])
+            node = page.setdefault(b.place, [1, 1, 0, None, own])
             h = xxhash.xxh64_intdigest(b.text)
             node[3] = h if node[3] is None or node[3] == h else False
             node[2] += len(b.text)
@@ -222,14 +225,16 @@ class Wrapper:
 
     def merge(self, other: Wrapper) -> None:
         self.pages += other.pages
-        for p, (n, most, chars, slot) in other.places.items():
+        for p, (n, most, chars, slot, differ) in other.places.items():
             if (mine := self.places.get(p)) is None:
-                self.places[p] = [n, most, chars, slot]
+                self.places[p] = [n, most, chars, slot, differ]
             else:
                 mine[0] += n
                 mine[1] = max(mine[1], most)
                 mine[2] += chars
                 mine[3] = slot if mine[3] is None else mine[3] if slot is None or slot == mine[3] else False
+                if mine[4] != differ and (len(mine[4]) < _DIFFER or differ[0] < mine[4][-1]):
+                    mine[4] = sorted({*mine[4], *differ})[:_DIFFER]
         if len(self.places) > 2 * _PLACES:
             self.places = dict(sorted(self.places.items(), key=lambda x: (-x[1][0], x[0]))[:_PLACES])
 
@@ -245,10 +250,11 @@ class Wrapper:
         """The wrapper as a regular expression: ? optional, + repeated, #TEXT slots, constants as #CONST."""
         kids: dict[str, list[str]] = {}
         for p in self.places:
-            kids.setdefault(p.rpartition("/")[0], []).append(p)
+            if p:
+                kids.setdefault(p.rpartition("/")[0], []).append(p)
 
         def write(p: str) -> str:
-            n, most, _, slot = self.places[p]
+            n, most, _, slot, _ = self.places[p]
             own = "" if slot is None else " #TEXT" if slot is False else " #CONST"
             inner = own + "".join(" " + write(k) for k in kids.get(p, []))
             return f"(<{p.rpartition('/')[2]}>{inner} </>)" + ("+" if most > 1 else "") + ("?" if n < self.pages else "")
@@ -257,22 +263,22 @@ class Wrapper:
 
     def decisions(self) -> tuple[str, dict[str, int], dict[str, int]]:
         """(main place, constants that go outside article and main, those that go inside as well)."""
-        varies = sum(x[2] for x in self.places.values() if x[3] is False)
+        varies = sum(x[2] for x in self.places.values() if x[3] is False or len(x[4]) < 3)
         everything = sum(x[2] for x in self.places.values())
-        main, rest = "", dict.fromkeys(self.places, 0)
+        main, rest = "", {}
         for p, x in self.places.items():
-            if x[3] is False or self.pages < 3:
+            if x[3] is False or len(x[4]) < 3:
                 while p:
                     rest[p] = rest.get(p, 0) + x[2]
                     p = p.rpartition("/")[0]
         whole = max(rest.values(), default=0)
         for p, chars in rest.items():
-            if whole and chars >= 0.8 * whole and len(p) > len(main) and p.rpartition("/")[2].partition(".")[0] not in ("p", "li", "h1", "h2"):
+            if whole and chars >= 0.8 * whole and (len(p), p) > (len(main), main) and p.rpartition("/")[2].partition(".")[0] not in ("p", "li", "h1", "h2"):
                 main = p
-        if self.pages < 3 or varies < 0.5 * everything:
+        if varies < 0.5 * everything:
             return main, {}, {}
-        same = {p: x[3] for p, x in self.places.items() if x[3] not in (None, False) and x[0] >= 3}
-        return main, same, {p: h for p, h in same.items() if self.places[p][0] >= 5}
+        same = {p: x[3] for p, x in self.places.items() if x[3] not in (None, False) and len(x[4]) >= 3}
+        return main, same, {p: h for p, h in same.items() if len(self.places[p][4]) >= 5}
 
 
 def main_text(html: str, decided: tuple[str, dict[str, int], dict[str, int]]) -> str:

@@ -321,3 +321,16 @@ def test_rows_are_judged_by_themselves(spark, tmp_path):
     rows = [(None, bad[0]), (None, good[0]), (7, bad[0]), (7, good[1])]
     left = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert left.columns == ["doc_id", "text"] and Counter(map(tuple, left.collect())) == Counter([rows[1], rows[3]])
+
+
+def test_html_copies_are_one_page(spark):
+    pages = [f"<body><div class=top>Welcome</div><div id=c><p>page {i} of the host, long enough</p></div>" for i in range(20)]
+    pages += ["<body><div class=top>Welcome</div><div id=c><p>copied page of some length</p><blockquote>quoted once</blockquote></div>"] * 6
+    pages += ["<article><p>an own page</p><p class=own>own words</p></article>"] * 6
+    rows = [(i, "http://h/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0] == "page 0 of the host, long enough" and got[20] == "copied page of some length\n\nquoted once" and got[26] == "an own page\n\nown words"
+    w = html_text.Wrapper()
+    for p in pages:
+        w.align(*html_text.read_page(p))
+    assert all(html_text.main_text(p, w.decisions()) == got[i] for i, p in enumerate(pages))
