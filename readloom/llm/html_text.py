@@ -4,8 +4,8 @@ A page is read as a stream of tokens: block elements by their place (the labels
 text blocks between them. A wrapper is a union-free regular expression over that stream. It starts as
 the stream of one page; each further page is aligned with it by place, and mismatches are resolved: a place that
 one of them lacks becomes optional, one that occurs several times a repeated group, and a text that differs a text
-slot; texts that never differ stay constants of the template. Aligning is associative, so tasks infer wrappers of what they read,
-which are merged in two steps, and a host with a third of all pages costs a row per task.
+slot; texts that never differ stay constants of the template. Aligning is associative, so tasks align what they read and
+give a row per host and place; these are added up by host and place, all of them, so no task holds a whole wrapper.
 
 What a page's text is: elements that are chrome by their tag, role or class go (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles); then, if the page has article or main elements, their blocks stay; else
@@ -17,21 +17,18 @@ there, so copies of a page do not make its text constant; a text on fewer pages
 Inside a block white space (br included) becomes one space; blocks are joined by two line feeds. Defined cases: null
 and empty html give an empty text; unclosed and misnested elements are closed where HTML closes them; a page that ends
 within a comment, script or style loses that rest; null or malformed urls form the host ''; rows that repeat
-an id are extracted one by one; other columns are ignored; an empty table gives an empty result. A wrapper holds 4,000 places
-at most (the most frequent).
+an id are extracted one by one; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +64,7 @@ _DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 _DEEP = 40
-_PLACES = 4000
+_PLACES = 100_000  # rows that a task holds before it gives them out
 _DIFFER = 5  # page hashes that are kept of a place: as many as the decisions ask for
 #: Open elements that an opening tag closes, and the elements that stop the search for them.
 _CLOSES = {
@@ -235,16 +232,6 @@ class Wrapper:
                 mine[3] = slot if mine[3] is None else mine[3] if slot is None or slot == mine[3] else False
                 if mine[4] != differ and (len(mine[4]) < _DIFFER or differ[0] < mine[4][-1]):
                     mine[4] = sorted({*mine[4], *differ})[:_DIFFER]
-        if len(self.places) > 2 * _PLACES:
-            self.places = dict(sorted(self.places.items(), key=lambda x: (-x[1][0], x[0]))[:_PLACES])
-
-    def dump(self) -> str:
-        return json.dumps([self.pages, self.places])
-
-    @staticmethod
-    def load(text: str) -> Wrapper:
-        pages, places = json.loads(text)
-        return Wrapper(pages, places)
 
     def expression(self) -> str:
         """The wrapper as a regular expression: ? optional, + repeated, #TEXT slots, constants as #CONST."""
@@ -308,33 +295,66 @@ def page_host(url: F.Column) -> F.Column:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): one row per host of a table (host, html)."""
+    """(host, place, chars, slot, constant, differ) of a table (host, html): the whole wrappers, one row per place.
+
+    ``slot`` tells that the text differs, ``constant`` is the hash of one that does not, ``differ`` counts pages, up to _DIFFER.
+    """
+    fields = {"host": pa.string(), "place": pa.string(), "chars": pa.int64(), "slot": pa.bool_(), "constant": pa.int64(), "differ": pa.list_(pa.int64())}
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt, known = TaskContext.get().partitionId() % 64, {}
+        known: dict[str, Wrapper] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(h, salt, w.dump()) for h, w in known.items()]
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(h, p, x[2], x[3] is False, _signed(x[3]), x[4]) for h, w in known.items() for p, x in w.places.items()]
             known.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], ["host", "salt", "wrapper"])
+            for at in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), fields.values(), strict=True)], list(fields))
 
+        held = 0
         for b in batches:
             for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                known.setdefault(host, Wrapper()).align(*read_page(html.as_py()))
-                if len(known) > 5000:
-                    yield out()
-        if known:
-            yield out()
+                wrapper = known.setdefault(host, Wrapper())
+                held -= len(wrapper.places)
+                wrapper.align(*read_page(html.as_py()))
+                held += len(wrapper.places)
+                if held > _PLACES:
+                    yield from out()
+                    held = 0
+        yield from out()
+
+    rows = pages.mapInArrow(partial, "host string, place string, chars long, slot boolean, constant long, differ array<long>")
+    merged = rows.groupBy("host", "place").agg(
+        F.sum("chars").alias("chars"),
+        (F.max("slot") | F.coalesce(F.min("constant") != F.max("constant"), F.lit(False))).alias("slot"),
+        F.min("constant").alias("constant"),
+        F.least(F.size(F.array_distinct(F.flatten(F.collect_list("differ")))), F.lit(_DIFFER)).alias("differ"),
+    )
+    return merged.withColumn("constant", F.when(~F.col("slot"), F.col("constant")))
+
 
-    def merged(group: pa.Table) -> pa.Table:
-        wrapper = Wrapper()
-        for text in group.column("wrapper"):
-            wrapper.merge(Wrapper.load(text.as_py()))
-        return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([wrapper.dump()])})
+def _signed(slot: int | bool | None) -> int | None:
+    return None if slot is None or slot is False else slot - (slot >> 63 << 64)
 
-    first = pages.mapInArrow(partial, "host string, salt int, wrapper string")
-    second = first.groupBy("host", "salt").applyInArrow(merged, "host string, wrapper string")
-    return second.groupBy("host").applyInArrow(merged, "host string, wrapper string")
+
+def host_decisions(wrappers: DataFrame) -> DataFrame:
+    """(host, main, same): Wrapper.decisions() of each host, same as an array of (place, constant, inside as well)."""
+    hosts = wrappers.groupBy("host").agg(
+        F.sum("chars").alias("everything"),
+        F.sum(F.when(F.col("slot") | (F.col("differ") < 3), F.col("chars")).otherwise(0)).alias("varies"),
+    )
+    hosts = materialize(hosts, "wrapper-hosts")
+    texts = wrappers.where("chars > 0").join(hosts.select("host", "everything", "varies"), "host")
+    parts = F.split("place", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    rest = texts.where("place <> '' and (slot or differ < 3)").select("host", F.explode(above).alias("place"), "chars").groupBy("host", "place").agg(F.sum("chars").alias("chars"))
+    rest = materialize(rest, "wrapper-rest")
+    whole = rest.groupBy("host").agg(F.max("chars").alias("whole"))
+    tag = F.regexp_extract("place", r"([^/.]*)[^/]*$", 1)
+    main = rest.join(whole, "host").where((F.col("chars") >= 0.8 * F.col("whole")) & ~tag.isin("p", "li", "h1", "h2"))
+    main = main.groupBy("host").agg(F.max(F.struct(F.char_length("place").alias("n"), "place")).getField("place").alias("main"))
+    same = texts.where("constant is not null and differ >= 3 and varies >= 0.5 * everything")
+    same = same.groupBy("host").agg(F.collect_list(F.struct("place", "constant", (F.col("differ") >= 5).alias("inside"))).alias("same"))
+    return hosts.select("host").join(main, "host", "left").join(same, "host", "left").select("host", F.coalesce("main", F.lit("")).alias("main"), "same")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -346,19 +366,21 @@ def extract_text(pages: DataFrame) -> DataFrame:
         text_or_empty("html").alias("html"),
     )
     wrappers = materialize(infer_wrappers(rows.select("host", "html")), "wrappers")
+    decided = materialize(host_decisions(wrappers), "wrapper-decisions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         for b in batches:
             out = []
-            for host, html, wrapper in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+            for host, html, main, same in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5), strict=True):
                 if host not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[host] = Wrapper.load(wrapper.as_py()).decisions()
+                    rows = [(x["place"], x["constant"] % (1 << 64), x["inside"]) for x in same.as_py() or ()]
+                    known[host] = main.as_py(), {p: h for p, h, _ in rows}, {p: h for p, h, inside in rows if inside}
                 out.append(main_text(html.as_py(), known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    judged = rows.join(wrappers, "host").select("page_id", "url", "host", "html", "wrapper")
+    judged = rows.join(decided, "host").select("page_id", "url", "host", "html", "main", "same")
     texts = judged.mapInArrow(run, "page_id long, url string, text string")
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -334,3 +334,10 @@ def test_html_copies_are_one_page(spark):
     for p in pages:
         w.align(*html_text.read_page(p))
     assert all(html_text.main_text(p, w.decisions()) == got[i] for i, p in enumerate(pages))
+
+
+def test_html_places_of_large_host(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05}")  # noqa: E731 (digits would be folded)
+    rows = [(i, "http://h/", f"<body><div class=top>Welcome</div><div id=post-{word(i)}><p>{f'article {i} ' * 20}</p></div><div class=lead><p>tease {i}</p></div>") for i in range(9000)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(f"article {i} article" in got[i] and "Welcome" not in got[i] for i in range(9000))
