@@ -8,7 +8,7 @@ slot; texts that never differ stay constants of the template. Aligning is associ
 give a row per host and place; these are added up by host and place, all of them, so no task holds a whole wrapper.
 
 What a page's text is: elements that are chrome by their tag, role or class go (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles); then, if the page has article or main elements, their blocks stay; else
+adverts, forms, comments, scripts, styles); then, if the page has article or main elements, all their blocks stay; else
 those below the wrapper's main place: the deepest that holds most of the host's variable text. Constants of the
 wrapper (the same on three different pages or more) are dropped outside article and main, and inside where a class or id
 marks a short block that is the same on five different pages or more, headings excepted. Pages of the same blocks count as one page
@@ -272,13 +272,8 @@ def main_text(html: str, decided: tuple[str, dict[str, int], dict[str, int]]) ->
     """The main text of a page, by the decisions of its host's wrapper."""
     main, same, same_inside = decided
     blocks, _ = read_page(html)
-    inside = Counter()
-    for b in blocks:
-        inside[b.main] += len(b.text)
-    del inside[0]
-    if inside:
-        enough = 0.25 * max(inside.values())
-        kept = [b for b in blocks if b.main and inside[b.main] >= enough]
+    kept = [b for b in blocks if b.main]
+    if kept:
         if same_inside:
             kept = [
                 b for b in kept

@@ -341,3 +341,8 @@ def test_html_places_of_large_host(spark):
     rows = [(i, "http://h/", f"<body><div class=top>Welcome</div><div id=post-{word(i)}><p>{f'article {i} ' * 20}</p></div><div class=lead><p>tease {i}</p></div>") for i in range(9000)]
     got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert all(f"article {i} article" in got[i] and "Welcome" not in got[i] for i in range(9000))
+
+
+def test_html_regions_of_main():
+    page = f"<main><h1>Title</h1><p>lead</p><article><p>{'long body ' * 50}</p></article><article><p>short</p></article></main>"
+    assert html_text.main_text(page, ("", {}, {})) == "\n\n".join(["Title", "lead", ("long body " * 50).strip(), "short"])
