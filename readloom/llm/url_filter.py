@@ -57,7 +57,7 @@ def url_tokens(host: Column, path: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     ends = F.transform(labels, lambda x, i: F.concat(F.when(i == F.size(labels) - 1, F.lit("tld:")).otherwise(F.lit("host:")), x))
     words = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "[-_]"))), lambda x: x != "")
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, 8)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
     place = F.transform(parts, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
     return F.array_distinct(F.concat(ends, F.transform(words, lambda x: F.concat(F.lit("word:"), x)), place))
 

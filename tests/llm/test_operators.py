@@ -346,3 +346,10 @@ def test_html_places_of_large_host(spark):
 def test_html_regions_of_main():
     page = f"<main><h1>Title</h1><p>lead</p><article><p>{'long body ' * 50}</p></article><article><p>short</p></article></main>"
     assert html_text.main_text(page, ("", {}, {})) == "\n\n".join(["Title", "lead", ("long body " * 50).strip(), "short"])
+
+
+def test_url_filter_deep_path(spark):
+    urls = [f"https://h{i}.net/{kind}/a/b/c/d/e/f/g/h/{word}" for i in range(20) for kind, word in (("es", "shop"),)] + [f"https://h{i}.com/x/a/b/c/d/e/f/g/h/news" for i in range(20)]
+    urls += ["https://q.org/x/a/b/c/d/e/f/g/h/shop", "https://q.org/x/a/b/c/d/e/f/g/h/news"]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), min_support=0.3).collect()}
+    assert got[40].verdict == "block" and "path9:shop" in got[40].mined and got[41].verdict == "allow"
