@@ -1,196 +1,270 @@
 """Adaptive context-mixing range coder for 16-bit ids, run over many independent blocks in lockstep.
 
-An id is coded as four nibbles. The distribution of a nibble mixes three predictions: order 0 (adaptive frequencies of
-the nibble after the nibbles before it in this id), order 1 (the two ids that last followed the previous id) and order
-2 (the id that last followed the previous two). The order-1 and order-2 predictions add to the frequency of their own
-next nibble as long as they agree with the nibbles already coded; how much is learnt per block from how often such
-predictions held, by confidence. A 48-bit carry-less range coder codes the nibble.
+The distribution of an id mixes three predictions: order 2 (the id that last followed the previous two), order 1 (the id that
+last followed the previous one) and order 0 (the ids of the block so far, by how often each occurred, with a share for
+ids that are new). P(x) = m2 [x = order-2 id] + m1 [x = order-1 id] + m0 P0(x). The masses m2 and m1 are learnt after every id, apart
+for each confidence of a prediction (how often running it held in its context); m0 is what they leave. One step of a 48-bit range
+coder codes an id, and a new id takes another step for its 16 bits.
+
+P0 is formed anew at fixed places of the block, each twice as far as the one before, from the counts up to there: 2,048
+slots are shared among the ids by count, at least one each, so that decoding an id takes one look at its slot instead of a search.
+The share of new ids is that of the stretch before.
 
 Blocks share no state: each starts from the same model, so any one can be read alone. Many blocks are lanes of the
-same numpy operations, which is what makes the coder affordable in Python. All model arithmetic is on integers or single
-IEEE operations on doubles, so encoder and decoder agree on any machine.
+same numpy operations, which is what makes the coder affordable in Python. All arithmetic is on integers, or single IEEE divisions
+of integers whose quotients cannot be rounded across a whole number, so encoder and decoder agree on any machine.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_MASK, _TOP, _LOW = (1 << 48) - 1, 1 << 32, 1 << 22
-_ROWS = 1 + 16 + 256 + 1024
-_H1, _H2 = 1 << 11, 1 << 12
-_STEP, _FULL = 24, 220
-_RATE, _MOST = 1 / 24, 0.96
+#: The longest block: the ids before P0 is last formed, and the share of new ids, must fit into the slots.
+LONGEST = 2048
+_BITS = 11
+_SLOTS = 1 << _BITS
+_MASK32, _TOP = (1 << 32) - 1, (1 << 48) - 1
+_ONE = 1 << 16
+_CONTEXTS = 8  # bits of a context's hash
+_MOST = np.array([[55_000], [18_000]], np.int32)  # of 2^16 for order 2, and of what it leaves in 2^15 for order 1
+_LEAST, _RATE = 64, 5
+_FIRST, _LEAST_NEW, _MOST_NEW = 64, 16, 900
+
+
+def _stretches(steps: int) -> list[tuple[int, int]]:
+    """The stretches of a block within which P0 stays as it is."""
+    places = [0]
+    while places[-1] < steps:
+        places.append(min(steps, max(_FIRST, 2 * places[-1])))
+    return list(zip(places, places[1:], strict=False))
+
+
+def _new_share(new: np.ndarray, length: int) -> np.ndarray:
+    """Slots for new ids, by how many of the last ``length`` ids were new."""
+    return np.clip(new * _SLOTS // length, _LEAST_NEW, _MOST_NEW)
 
 
-class _Model:
-    """The predictions of each lane and their mixture. Arrays of 16 or 3 rows have a column per lane."""
+class _Contexts:
+    """What followed the last two ids (row 0) and the last one (row 1) in each lane, and how far to believe it.
+
+    An entry is an id, and in its last two bits how often running it was right.
+    """
 
     def __init__(self, lanes: int):
-        self.n, self.lane = lanes, np.arange(lanes)
-        self.freq = np.ones(lanes * _ROWS * 16, np.uint8)
-        self.rows = self.freq.view(np.complex128)  # 16 bytes each, moved as one item
-        self.sums = np.full(lanes * _ROWS, 16, np.int32)
-        self.row0 = self.lane * _ROWS
-        self.base = np.stack([self.lane * _H2, self.lane * _H1])
-        self.two, self.one, self.other = (np.zeros(lanes * h, np.uint16) for h in (_H2, _H1, _H1))
-        self.sure = (np.zeros(lanes * _H2, np.uint8), np.zeros(lanes * _H1, np.uint8))
-        self.right = np.full(3 * lanes * 4, 0.25)  # how often each prediction holds, by its confidence
-        self.by = (np.arange(3)[:, None] * lanes + self.lane) * 4
-        self.last = np.zeros(lanes, np.int64)
-        self.mixed = np.zeros(lanes, np.int64)  # of the last id, for the order-2 context
-
-    def begin(self) -> None:
-        """Look up the predictions of the next id."""
-        h = self.last * 40503
-        self.at2 = self.base[0] + ((h + self.mixed >> 2) & (_H2 - 1))
-        self.at1 = self.base[1] + ((h >> 3) & (_H1 - 1))
-        ids = np.empty((3, self.n), np.int64)
-        ids[0], ids[1], ids[2] = self.two[self.at2], self.one[self.at1], self.other[self.at1]
-        self.s2, self.s1 = self.sure[0][self.at2], self.sure[1][self.at1]
-        conf = self.by.copy()
-        conf[0] += self.s2
-        conf[1:] += self.s1
-        p = self.right[conf]
-        self.ids, self.conf, self.p = ids, conf, p
-        p = np.minimum(p, _MOST)
-        self.odds = p / (1 - p)
-        self.odds[1:][ids[1:] == ids[0]] = 0
-        self.prefix = np.zeros(self.n, np.int64)
-
-    def mixture(self, k: int) -> np.ndarray:
-        """Cumulative frequencies of nibble k, a row for each of its values."""
-        p = self.prefix
-        self.row = self.row0 + (0 if k == 0 else 1 + p if k == 1 else 17 + p if k == 2 else 273 + (p & 1023))
-        f = self.rows[self.row].view(np.uint8).reshape(-1, 16).T.astype(np.uint16)
-        flat = f.reshape(-1)
-        more = np.minimum(self.sums[self.row] * self.odds, 16000.0).astype(np.uint16)
-        at = ((self.ids >> (12 - 4 * k)) & 15) * self.n + self.lane
-        for j in range(3):
-            flat[at[j]] += more[j]
-        for i in range(1, 16):  # faster than cumsum along this axis
-            f[i] += f[i - 1]
-        return f
-
-    def learn(self, k: int, nibble: np.ndarray) -> None:
-        at = self.row * 16 + nibble
-        got = self.freq[at] + np.uint8(_STEP)
-        self.freq[at] = got
-        self.sums[self.row] += _STEP
-        full = (got > _FULL).nonzero()[0]
-        if len(full):
-            table, r = self.freq.reshape(-1, 16), self.row[full]
-            table[r] = half = (table[r] >> 1) | 1
-            self.sums[r] = half.sum(axis=1)
-        self.prefix = (self.prefix << 4) | nibble
-        if k < 3:
-            self.odds *= (self.ids >> (12 - 4 * k)) == self.prefix
-
-    def end(self) -> np.ndarray:
-        """Learn the id that its four nibbles make."""
-        x = self.prefix
-        ok = self.ids == x
-        self.right[self.conf] = self.p + (ok - self.p) * _RATE
-        self.sure[0][self.at2] = np.where(ok[0], np.minimum(self.s2 + 1, 3), 0)
-        self.sure[1][self.at1] = np.where(ok[1], np.minimum(self.s1 + 1, 3), 0)
-        self.two[self.at2] = self.one[self.at1] = x
-        self.other[self.at1] = np.where(ok[1], self.ids[2], self.ids[1])
-        self.mixed, self.last = self.last * 30011, x
-        return x
-
-
-def _narrow(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Lanes whose leading 16 bits are settled, or whose range must be cut so that they are."""
-    return (((low ^ (low + rng)) < _TOP) | (rng < _LOW)).nonzero()[0]
-
-
-def _shift(low: np.ndarray, rng: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Drop the leading 16 bits of these lanes; returns them."""
-    a, r = low[rows], rng[rows]
-    r = np.where((a ^ (a + r)) >= _TOP, -a & (_LOW - 1), r)
-    low[rows], rng[rows] = (a << 16) & _MASK, r << 16
-    return a >> 32
-
-
-def _code(cum: np.ndarray, lane: np.ndarray, nibble: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the nibble's share begins, and its width."""
-    flat, at = cum.reshape(-1), nibble * len(lane) + lane
-    upto, below = flat[at].astype(np.int64), flat[at - len(lane)].astype(np.int64)
-    below[nibble == 0] = 0
-    return below, upto - below
-
-
-def _unit(rng: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """rng // total: exact, as the quotient of integers below 2^53 that differ from the next by 2^-48 at least."""
-    return (rng / total).astype(np.int64)
+        both = np.arange(2 * lanes).reshape(2, lanes)
+        self.base, self.by_sure = both << _CONTEXTS, both << 2
+        self.entries = np.zeros(2 * lanes << _CONTEXTS, np.int32)
+        self.masses = np.full(8 * lanes, _ONE >> 4, np.int32)
+        self.masses[4 * lanes :] >>= 1
+        self.at = self.base
+        self.before = np.zeros(lanes, np.int32)
+
+    def predict(self) -> None:
+        """Sets ids (the predictions), m2, both (m2 + m1) and m0."""
+        e = self.entries.take(self.at)
+        self.sure, self.ids = e & 3, e >> 2
+        self.by = self.by_sure + self.sure
+        self.raw = self.masses.take(self.by)
+        self.m2 = self.raw[0]
+        m1 = ((_ONE - self.m2) * self.raw[1] >> 15) * (self.ids[0] != self.ids[1])
+        self.both = self.m2 + m1
+        self.m0 = _ONE - self.both
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """Take the id of each lane; ``hit`` is ids == x."""
+        self.entries[self.at] = np.minimum(self.sure + 1, 3) * hit + (x << 2)
+        self.masses[self.by] = self.raw + (np.where(hit, _MOST, _LEAST) - self.raw >> _RATE)
+        h = x * np.int32(30011)
+        self.at = self.base + (np.stack((h ^ self.before, h)) >> 6 & (1 << _CONTEXTS) - 1)
+        self.before = x * np.int32(20021)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Where a row of sorted numbers has one that differs from the one before."""
+    first = np.ones(rows.shape, bool)
+    np.not_equal(rows[:, 1:], rows[:, :-1], out=first[:, 1:])
+    return first
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The code of each block of ids below 65536. Blocks of like length are best given together."""
+    """The code of each block of up to LONGEST ids below 65536. Blocks of like length are best given together."""
     if not blocks:
         return []
     lanes, steps = len(blocks), max(map(len, blocks))
-    ids = np.zeros((steps, lanes), np.uint16)
+    if steps > LONGEST:
+        raise ValueError(f"a block of {steps} ids is longer than {LONGEST}")
+    by_lane = np.zeros((lanes, steps), np.uint16)
     for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    out, used = np.zeros((lanes, steps + 64), np.uint16), np.zeros(lanes, np.int64)
-    for t in range(steps):
-        if used.max() + 24 > out.shape[1]:
-            out = np.concatenate([out, np.zeros((lanes, out.shape[1]), np.uint16)], axis=1)
-        x = ids[t].astype(np.int64)
-        model.begin()
-        for k in range(4):
-            nibble = (x >> (12 - 4 * k)) & 15
-            cum = model.mixture(k)
-            unit = _unit(rng, cum[15])
-            below, width = _code(cum, model.lane, nibble)
-            low += unit * below
-            rng = unit * width
-            while len(rows := _narrow(low, rng)):
-                out[rows, used[rows]] = _shift(low, rng, rows)
-                used[rows] += 1
-            model.learn(k, nibble)
-        model.end()
-    every = np.arange(lanes)
+        by_lane[i, : len(b)] = b
+    # The place of each id among the distinct ids of its block; those of the blocks follow one another.
+    order = np.argsort(by_lane, axis=1, kind="stable")
+    rank = np.cumsum(_distinct(np.take_along_axis(by_lane, order, 1)), axis=1, dtype=np.int32) - 1
+    kinds = int(rank[:, -1].max()) + 1 if steps else 1
+    place = np.empty((lanes, steps), np.int32)
+    np.put_along_axis(place, order, rank + np.arange(lanes, dtype=np.int32)[:, None] * kinds, 1)
+    place = np.ascontiguousarray(place.T)
+    ids = np.ascontiguousarray(by_lane.T).astype(np.int32)
+    del order, rank, by_lane
+    counts = np.zeros(lanes * kinds, np.int32)
+    new = np.zeros(lanes, np.int64)
+    known, lane = _Contexts(lanes), np.arange(lanes)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _TOP, np.int64)
+    out = np.empty((2 * steps + 4) * lanes, np.uint32)  # 16 bits, and above them what is carried into the item before
+    at = lane.copy()
+
+    def settle(rows: np.ndarray) -> None:
+        where, a = at[rows], low[rows]
+        out[where] = a >> 32
+        at[rows] = where + lanes
+        low[rows] = (a & _MASK32) << 16
+        rng[rows] <<= 16
+
+    last_begin = 0
+    for begin, after in _stretches(steps):
+        if begin == 0:
+            limit = np.zeros(lanes, np.int32)
+            first, width = np.zeros((2, after, lanes), np.int32)
+        else:
+            counts += np.bincount(place[last_begin:begin].ravel(), minlength=lanes * kinds).astype(np.int32)
+            table = counts.reshape(lanes, kinds)
+            upto = np.cumsum(table > 0, axis=1, dtype=np.int32)
+            limit = (_SLOTS - _new_share(new, begin - last_begin)).astype(np.int32)
+            ends = upto + np.cumsum(table, axis=1, dtype=np.int32) * (limit - upto[:, -1])[:, None] // np.int32(begin)
+            begins = np.zeros_like(ends)
+            begins[:, 1:] = ends[:, :-1]
+            first, width = (a.ravel().take(place[begin:after]) for a in (begins, ends - begins))
+            new[:] = 0
+        last_begin = begin
+        for t in range(begin, after):
+            x, lo, wide = ids[t], first[t - begin], width[t - begin]
+            known.predict()
+            hit = known.ids == x
+            held = hit[0] | hit[1]
+            fresh = (wide == 0).nonzero()[0]
+            if len(fresh):
+                lo[fresh], wide[fresh] = limit[fresh], _SLOTS - limit[fresh]
+                fresh = fresh[~held[fresh]]
+            unit = rng >> 16
+            slot = unit * known.m0 >> _BITS
+            held = held.nonzero()[0]
+            if len(held):
+                by2, m2, own = hit[0][held], known.m2[held], unit[held]
+                begin_held = low[held] + np.where(by2, 0, m2) * own
+                range_held = np.where(by2, m2, known.both[held] - m2) * own
+            low += unit * known.both + slot * lo
+            rng = slot * wide
+            if len(held):
+                low[held], rng[held] = begin_held, range_held
+            settle((rng <= _MASK32).nonzero()[0])
+            if len(fresh):
+                unit = rng[fresh] >> 16
+                low[fresh] += unit * x[fresh]
+                rng[fresh] = unit
+                settle(fresh)
+                new[fresh] += 1
+            known.learn(x, hit)
     for _ in range(3):
-        out[every, used] = low >> 32
-        low = (low << 16) & _MASK
-        used += 1
-    return [out[i, : used[i]].astype(">u2").tobytes() for i in range(lanes)]
+        out[at] = low >> 32
+        low = (low & _MASK32) << 16
+        at += lanes
+    used = (at - lane) // lanes
+    rows = out.reshape(-1, lanes)[: used.max()]
+    rows[np.arange(len(rows))[:, None] >= used] = 0
+    for k in range(len(rows) - 1, 0, -1):
+        rows[k - 1] += rows[k] >> 16
+    codes = np.ascontiguousarray(rows.T).astype(">u2")
+    return [codes[i, :n].tobytes() for i, n in enumerate(used.tolist())]
+
+
+def _slots(ids: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the slots hold, from the ids so far: (entry of each slot in its lane, where a lane's entries begin, entries).
+
+    An entry is an id, its first slot and its number of slots in one number; the last of a lane is that of new ids.
+    """
+    t, lanes = ids.shape
+    ordered = np.sort(np.ascontiguousarray(ids.T), axis=1)
+    first = _distinct(ordered)
+    kinds = np.count_nonzero(first, axis=1)
+    at = first.ravel().nonzero()[0]
+    lane = np.repeat(np.arange(lanes), kinds)
+    ends = np.cumsum(kinds)
+    limit = _SLOTS - share
+    begins = np.arange(len(at)) - (ends - kinds)[lane] + (at - lane * t) * (limit - kinds)[lane] // t
+    where, more = np.arange(len(at)) + lane, ends + np.arange(lanes)
+    begin, id_ = np.empty(len(at) + lanes, np.int64), np.zeros(len(at) + lanes, np.int64)
+    begin[where], begin[more], id_[where] = begins, limit, ordered.ravel()[at]
+    end = np.empty_like(begin)
+    end[:-1] = begin[1:]
+    end[more] = _SLOTS
+    marks = np.zeros((lanes, _SLOTS), np.uint16)
+    marks.reshape(-1)[begin + (np.repeat(np.arange(lanes), kinds + 1) << _BITS)] = 1
+    marks[:, 0] = 0
+    return np.cumsum(marks, axis=1, dtype=np.uint16).ravel(), more - kinds, id_ | begin << 16 | end - begin << 29
 
 
 def decode_blocks(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of each block; ``lengths`` of all blocks that were encoded in one call, in that order."""
+    """The ids of each block, from its code and length."""
     if not codes:
         return []
     lanes, steps = len(codes), max(lengths)
-    words = np.zeros((lanes, max(map(len, codes)) // 2 + 8), np.int64)
+    by_lane = np.zeros((lanes, max(map(len, codes)) // 2 + 4), np.uint16)
     for i, c in enumerate(codes):
-        words[i, : len(c) // 2] = np.frombuffer(c, ">u2")
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-    code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
-    used = np.full(lanes, 3)
-    last = words.shape[1] - 1
+        by_lane[i, : len(c) // 2] = np.frombuffer(c, ">u2")
+    words = np.ascontiguousarray(by_lane.T).ravel()
+    known, lane = _Contexts(lanes), np.arange(lanes)
+    rng = np.full(lanes, _TOP, np.int64)
+    code = words[lane].astype(np.int64) << 32 | words[lane + lanes].astype(np.int64) << 16 | words[lane + 2 * lanes]
+    at = lane + 3 * lanes
     ids = np.zeros((steps, lanes), np.uint16)
-    for t in range(steps):
-        model.begin()
-        for k in range(4):
-            cum = model.mixture(k)
-            unit = _unit(rng, cum[15])
-            aim = np.minimum(_unit(code - low, unit), cum[15] - 1).astype(np.uint16)
-            past = (cum <= aim).view(np.int8)
-            nibble = past[0].astype(np.int64)
-            for i in range(1, 15):
-                nibble += past[i]
-            below, width = _code(cum, model.lane, nibble)
-            low += unit * below
-            rng = unit * width
-            while len(rows := _narrow(low, rng)):
-                _shift(low, rng, rows)
-                code[rows] = ((code[rows] << 16) & _MASK) | words[rows, np.minimum(used[rows], last)]
-                used[rows] += 1
-            model.learn(k, nibble)
-        ids[t] = model.end()
+    new = np.zeros(lanes, np.int64)
+    base = lane << _BITS
+    which, offset, entries = np.zeros(lanes << _BITS, np.uint16), lane, np.full(lanes, _SLOTS << 29, np.int64)
+    limit = np.zeros(lanes, np.int64)
+
+    def settle(rows: np.ndarray) -> None:
+        where = at[rows]
+        code[rows] = code[rows] << 16 | words.take(where, mode="clip")
+        rng[rows] <<= 16
+        at[rows] = where + lanes
+
+    last_begin = 0
+    for begin, after in _stretches(steps):
+        if begin:
+            share = _new_share(new, begin - last_begin)
+            (which, offset, entries), limit = _slots(ids[:begin], share), _SLOTS - share
+            new[:] = 0
+        last_begin = begin
+        for t in range(begin, after):
+            known.predict()
+            unit = rng >> 16
+            rest = code - unit * known.both
+            one = unit * known.m0 >> _BITS
+            slot = (rest / one).astype(np.int64)
+            entry = entries.take(which.take(base + slot, mode="clip") + offset, mode="clip")
+            x = (entry & 0xFFFF).astype(np.int32)
+            fresh = slot >= limit
+            rng = (entry >> 29) * one
+            held = (rest < 0).nonzero()[0]
+            if len(held):
+                c, own, m2 = code[held], unit[held], known.m2[held]
+                by2 = c < m2 * own
+                x[held] = np.where(by2, *known.ids[:, held])
+                code_held = c - np.where(by2, 0, m2) * own
+                rng[held] = np.where(by2, m2, known.both[held] - m2) * own
+                fresh[held] = False
+            code = rest - (entry >> 16 & 0x1FFF) * one
+            if len(held):
+                code[held] = code_held
+            settle((rng <= _MASK32).nonzero()[0])
+            fresh = fresh.nonzero()[0]
+            if len(fresh):
+                unit = rng[fresh] >> 16
+                v = (code[fresh] / unit).astype(np.int64)
+                x[fresh] = v
+                code[fresh] -= unit * v
+                rng[fresh] = unit
+                settle(fresh)
+                new[fresh] += 1
+            ids[t] = x
+            known.learn(x, known.ids == x)
     return [ids[:n, i].copy() for i, n in enumerate(lengths)]
