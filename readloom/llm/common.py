@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "readloom_row"
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +45,42 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._readloom_path = path
+    _written.append(path)
+    return table
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for table in tables:
+        if path := table.__dict__.get("_readloom_path"):
+            delete_path(table.sparkSession, path)
+            _written.remove(path)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the scratch that came after scratch_mark() returned ``mark``, but for the table ``keep``."""
+    kept = None if keep is None else keep.__dict__.get("_readloom_path")
+    for path in _written[mark:]:
+        if path != kept:
+            delete_path(spark, path)
+    _written[mark:] = [] if kept is None else [kept]
+
+
+def scratch_mark() -> int:
+    return len(_written)
+
+
+def note_scratch(path: str) -> str:
+    """Have discard_since() delete this folder too."""
+    _written.append(path)
+    return path
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:

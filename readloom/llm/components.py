@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,12 +24,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == seen or state[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
+        before = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least = materialize(least, "least")  # a table, so that the join can split a hub's rows
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
+        discard(least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         pairs = large.join(least, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(pairs.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before, large, least)

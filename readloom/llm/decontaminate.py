@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import ROW, text_or_empty, with_row_key
+from readloom.llm.common import text_or_empty
 
 WIDTH = 5
 _APART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -143,17 +143,12 @@ def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]
 def contained_items(
     docs: DataFrame, benchmark: DataFrame, share: float = 0.8, width: int = WIDTH, block_chars: int = 16_000_000
 ) -> DataFrame:
-    """(doc_id, item_id, containment, n_shingles) for each document that holds ``share`` or more of an item's shingles.
-
-    The row key of ``docs`` is a further column if it has one.
-    """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text").alias("text"))
-    key = [ROW] if ROW in docs.columns else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *key)
-    schema = "doc_id long, item_id long, containment double, n_shingles long" + "".join(f", {k} long" for k in key)
-    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.int64() for _ in key])
+    """(doc_id, item_id, containment, n_shingles) for each document that holds ``share`` or more of an item's shingles."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    schema = "doc_id long, item_id long, containment double, n_shingles long"
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
     out = None
-    for block in _blocks(items, block_chars):
+    for block in _blocks(_items(benchmark), block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, share, width))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -161,13 +156,12 @@ def contained_items(
             hasher = Hasher(width)
             for b in batches:
                 found = []
-                for doc_id, text, *row in zip(b.column(0).to_pylist(), b.column(1), *[c.to_pylist() for c in b.columns[2:]], strict=True):
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     for i, held in known.find(words_of(text.as_py()), hasher):
-                        found.append((doc_id, known.ids[i], held, len(known.shingles[i]), *row))
+                        found.append((doc_id, known.ids[i], held, len(known.shingles[i])))
                 cols = list(zip(*found, strict=True)) or [[] for _ in types]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                    ["doc_id", "item_id", "containment", "n_shingles", *key],
+                    [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "containment", "n_shingles"]
                 )
 
         found = rows.mapInArrow(run, schema)
@@ -175,8 +169,20 @@ def contained_items(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; each row is judged by itself, whatever its id."""
-    keyed = with_row_key(docs)
-    found = contained_items(keyed, benchmark, share).select(ROW).distinct()
-    return keyed.join(found, ROW, "left_anti").select(*docs.columns)
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text").alias("text"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, width: int = WIDTH, block_chars: int = 16_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; each row is judged as it passes, whatever its id."""
+    at = docs.columns.index("text")
+    for block in _blocks(_items(benchmark), block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(Items(block, share, width))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known, hasher = sent.value, Hasher(width)
+            for b in batches:
+                yield b.filter(pa.array([not known.find(words_of(t.as_py()), hasher) for t in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

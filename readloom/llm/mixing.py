@@ -6,13 +6,16 @@ the sources ordered by cap / weight, the first k are full exactly if the level t
 exceed the next ratio, so running sums over the table of sources suffice.
 
 A document is taken floor(target / source size) times, and once more if it lies in the seeded sample that makes up
-the fraction: documents of a source are put in the order of a seeded hash and taken until the fraction of the
-source's words is reached. The order is cut by running sums over hash buckets first and over the rows of the one
-bucket that the cut falls in, so no source's rows meet in one task.
+the fraction: documents of a source are put in the order of a seeded hash of id and text and taken until the fraction
+of the source's words is reached. Where the order is cut is found digit by digit: the sizes are added up by the next ten bits of
+the hash among the rows that agree in the ones before, which leaves a table of 1,024 rows a source at most to
+run over. The last digit is of a hash of the row itself, so that equal rows part as well, and the rows that agree in all four
+are a trillionth of a source. So no source's rows meet in one task, and no group of equal rows.
 
 Defined cases: null texts have size 0; null is a source of its own, ordered last; sources of size 0 have target
-0; with no words at all every target is 0; documents of size 0 are taken for 0 words; rows that repeat a doc_id are
-drawn one by one; null ids sort first within their hash; other columns are ignored; an empty table gives an empty result.
+0; with no words at all every target is 0; documents of size 0 are taken for 0 words; rows that repeat an id are
+drawn one by one, and rows equal in id and text are interchangeable; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import WORD, materialize, text_or_empty
+from readloom.llm.common import ROW, WORD, materialize, text_or_empty, with_row_key
 
-BUCKETS = 1 << 14
+DIGITS, DIGIT_BITS = 4, 10
+_TIMES, _COPY = "readloom_times", "readloom_copy"
 
 
 def _same_source(a: str, b: str) -> Column:
@@ -61,12 +65,35 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return caps.select("source", "source_size", "weight", F.coalesce(filled, F.col("cap")).alias("target"))
 
 
-def seeded_draw(seed: int) -> Column:
-    """60 bits of the MD5 of seed and id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def seeded_draw(seed: int, doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of seed, id and the text's MD5."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text))
     return F.conv(F.substr(F.md5(key), F.lit(1), F.lit(15)), 16, 10).cast("long")
 
 
+def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with the digits c0.. of the place where the fraction of each source ends (null if it is none), and ``left``, the words of the fraction there."""
+    cuts = plan.withColumn("left", F.col("part"))
+    for k in range(DIGITS):
+        inside = rows
+        if k:
+            same = _same_source("r", "c")
+            for i in range(k):
+                same = same & (F.col(f"r.d{i}") == F.col(f"c.c{i}"))
+            inside = rows.alias("r").join(cuts.alias("c"), same).select("r.*")
+        run = W.partitionBy("source").orderBy(f"d{k}").rowsBetween(W.unboundedPreceding, 0)
+        sums = inside.groupBy("source", f"d{k}").agg(F.sum("size").alias("words")).withColumn("end", F.sum("words").over(run))
+        found = (
+            sums.alias("s")
+            .join(cuts.alias("c"), _same_source("s", "c"))
+            .where("s.end - s.words < c.left and c.left <= s.end")
+            .select("s.source", F.col(f"s.d{k}").alias(f"c{k}"), (F.col("c.left") - F.col("s.end") + F.col("s.words")).alias("rest"))
+        )
+        both = cuts.alias("p").join(found.alias("f"), _same_source("p", "f"), "left")
+        cuts = materialize(both.select("p.*", f"c{k}", "rest").withColumn("left", F.col("rest")).drop("rest"), f"mix-cut{k}")
+    return cuts
+
+
 def mixed(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,67 +103,45 @@ def mixed(
     max_epochs: float = 3.0,
     seed: int = 7,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, repeats, taken."""
+    """One row per input row: doc_id, source, size, source_size, target, repeats, taken, and the row key of ``docs`` if it has one."""
+    given = [ROW] if ROW in docs.columns else []
+    doc_id, text = F.col(id_col).cast("long"), text_or_empty(text_col)
     rows = materialize(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
+            doc_id.alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
-            F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        ).withColumn("draw", seeded_draw(seed)),
+            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+            seeded_draw(seed, doc_id, text).alias("draw"),
+            F.xxhash64(F.col(ROW) if given else F.monotonically_increasing_id()).alias("tie"),
+            *given,
+        ),
         "mix-sizes",
-    ).withColumn("bucket", F.shiftright("draw", 60 - BUCKETS.bit_length() + 1))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
+    )
+    low = (1 << DIGIT_BITS) - 1
+    digits = [F.shiftright("draw", 60 - DIGIT_BITS * (k + 1)).bitwiseAND(F.lit(low)) for k in range(DIGITS - 1)]
+    digits.append(F.col("tie").bitwiseAND(F.lit(low)))
+    rows = rows.withColumns({f"d{k}": d.cast("int") for k, d in enumerate(digits)})
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(cyclic_weights(sizes, weights), max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = materialize(
-        plan.withColumn("whole", F.floor(epochs)).withColumn(
-            "part", F.col("target") - F.floor(epochs) * F.col("source_size")
-        ),
-        "mix-plan",
-    )
-    # Where each bucket begins in the drawn order of its source, and the bucket in which the fraction ends.
-    run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    cuts = (
-        buckets.withColumn("end", F.sum("bucket_size").over(run))
-        .alias("b")
-        .join(plan.alias("p"), _same_source("b", "p"))
-        .where((F.col("end") - F.col("bucket_size") < F.col("part")) & (F.col("part") <= F.col("end")))
-        .groupBy("b.source")
-        .agg(F.min(F.struct("bucket", (F.col("end") - F.col("bucket_size")).alias("begin"))).alias("cut"))
-    )
-    plan = plan.alias("p").join(cuts.alias("c"), _same_source("p", "c"), "left").select("p.*", "c.cut")
-    plan = materialize(plan, "mix-cuts")  # a table, so that the join can split the rows of a hot source
-    at = (
-        rows.alias("r")
-        .join(plan.alias("p"), _same_source("r", "p"))
-        .select(
-            "r.*",
-            "source_size",
-            "target",
-            "whole",
-            "part",
-            F.col("cut.begin").alias("begin"),
-            F.when(F.col("cut").isNull(), F.lit(1)).otherwise(F.signum(F.col("bucket") - F.col("cut.bucket"))).cast("int").alias("side"),
-        )
-    )
-    within = W.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    edge = at.where("side = 0").withColumn(
-        "more",
-        # nearest: the document on which the cut falls is taken if at least half of it lies before the cut
-        (F.col("begin") + F.sum("size").over(within) - F.col("size") / 2 <= F.col("part")).cast("long"),
-    )
+    whole = F.floor(epochs)
+    plan = plan.withColumn("whole", whole).withColumn("part", F.col("target") - whole * F.col("source_size"))
+    cuts = _cuts(rows, materialize(plan, "mix-plan"))  # a table, so that the join can split the rows of a hot source
+    here, cut = (F.struct(*[F.col(f"{c}{k}") for k in range(DIGITS)]) for c in "dc")
+    side = F.when(F.col("c0").isNull() | (here > cut), 1).when(here < cut, -1).otherwise(0)
+    at = rows.alias("r").join(cuts.alias("p"), _same_source("r", "p"))
+    at = at.select("r.*", "source_size", "target", "whole", "left", *[f"c{k}" for k in range(DIGITS)]).withColumn("side", side)
+    within = W.partitionBy("source").orderBy("draw", "tie", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    # nearest: the document on which the cut falls is taken if at least half of it lies before the cut
+    edge = at.where("side = 0").withColumn("more", (F.sum("size").over(within) - F.col("size") / 2 <= F.col("left")).cast("long"))
     out = at.where("side <> 0").withColumn("more", (F.col("side") < 0).cast("long")).unionByName(edge)
-    return out.withColumn("repeats", F.col("whole") + F.col("more")).select(
-        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")
-    )
+    repeats = F.col("whole") + F.col("more")
+    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), *given)
 
 
 def repeat_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs`` (doc_id, text, source and what else they have), each as often as it is taken."""
-    times = mixed(docs, **how).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.sum("repeats").alias("all"), F.count("*").alias("n"))
-    # Rows that repeat an id were drawn one by one but cannot be told apart: they share what they drew.
-    turn = F.when(F.col("n") == 1, F.col("all")).otherwise(F.ceil(F.col("all") / F.col("n"))).cast("int")
-    joined = docs.join(times, docs.doc_id.cast("long").eqNullSafe(F.col("mixed_id")))
-    copies = joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), turn)))
-    return copies.select(*[docs[c] for c in docs.columns])
+    keyed = with_row_key(docs)
+    times = mixed(keyed, **how).where("repeats > 0").select(ROW, F.col("repeats").cast("int").alias(_TIMES))
+    copies = keyed.join(times, ROW).withColumn(_COPY, F.explode(F.array_repeat(F.lit(0), F.col(_TIMES))))
+    return copies.select(*docs.columns)

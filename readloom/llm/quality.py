@@ -1,11 +1,10 @@
-"""Supervised subword embeddings: a text is the mean of learned vectors of its hashed words and character n-grams.
+"""Supervised subword embeddings: a text is the mean of learned vectors of its hashed words, word pairs and character n-grams.
 
-Model: h = mean of E[bucket] over all word and n-gram occurrences, logits = h W + b, softmax over two classes, trained
+Model: h = mean of E[bucket] over all occurrences of words, of pairs of neighbouring words and of the n-grams in words, logits = h W + b, softmax over two classes, trained
 by plain stochastic gradient descent in numpy. The training rows are a bounded sample of the labelled rows (``per_class``
 rows of each class, drawn by a hash of the id; together at most ``max_chars`` characters, whole texts only); they come to
 the driver. Scores cover every row. As the output layer is linear, the difference of the two logits is a mean of one
-number per bucket, so executors get one vector of 2^18 floats and look up words, not embeddings. Word bigrams enter
-by their pattern alone, which two buckets hold: the word repeats the one before it, or not (each counts PATTERN times).
+number per bucket, so executors get one vector of 2^18 floats and look up words, not embeddings.
 
 Defined cases: null and empty texts score by the bias alone; a null id is never learnt from and counts as not held
 out; repeated label rows vote, a tie counting as 1; labels other than 0 and 1, or null, are ignored; without rows of
@@ -25,13 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import ROW, text_or_empty
+from readloom.llm.common import text_or_empty
 
 BITS = 18
 GRAMS = (3, 4, 5)
 CACHE = 400_000
-PATTERN = 8
-SAME, OTHER = (xxhash.xxh64_intdigest(f"\0{k}") >> (64 - BITS) for k in ("same", "other"))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -61,6 +59,16 @@ def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[order], np.searchsorted(word[order], np.arange(len(words)))
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbours, from the hashes of a text's words in turn."""
+    h = (hashes[:-1] * _MIX ^ hashes[1:]) * _MIX
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def train(texts: list[str], labels: list[int], dim: int = 16, steps: int = 30_000, rate: float = 0.6, seed: int = 1):
     """(logit of class 1 less that of class 0 for each bucket, the same of the bias)."""
     rng = np.random.default_rng(seed)
@@ -75,9 +83,9 @@ def train(texts: list[str], labels: list[int], dim: int = 16, steps: int = 30_00
             continue
         flat, begins = word_buckets(list(words))
         times = np.repeat(np.fromiter(words.values(), np.float32, len(words)), np.diff(np.append(begins, len(flat))))
-        same = sum(map(str.__eq__, line[1:], line))
-        ids, inverse = np.unique(np.append(flat, [SAME, OTHER]), return_inverse=True)
-        times = np.append(times, [PATTERN * same, PATTERN * (len(line) - 1 - same)])
+        pairs = pair_buckets(word_hashes(line))
+        ids, inverse = np.unique(np.append(flat, pairs), return_inverse=True)
+        times = np.append(times, np.ones(len(pairs), np.float32))
         share = np.bincount(inverse, weights=times).astype(np.float32)
         rows.append((ids, share / share.sum()))
     epochs, done = -(-steps // len(rows)), 0
@@ -107,7 +115,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.index: defaultdict[str, int] = defaultdict(count().__next__)
-        self.sums, self.sizes = np.empty(0), np.empty(0)
+        self.sums, self.sizes, self.hashes = np.empty(0), np.empty(0), np.empty(0, np.uint64)
 
     def logits(self, texts: list[str]) -> np.ndarray:
         if len(self.index) > CACHE:
@@ -117,21 +125,21 @@ class Scorer:
         if fresh := list(self.index)[known:]:
             for at in range(0, len(fresh), 50_000):
                 flat, begins = word_buckets(fresh[at : at + 50_000])
+                self.hashes = np.append(self.hashes, word_hashes(fresh[at : at + 50_000]))
                 self.sums = np.append(self.sums, np.add.reduceat(self.table[flat].astype(np.float64), begins))
                 self.sizes = np.append(self.sizes, np.diff(np.append(begins, len(flat))))
         return np.array([self.bias + (self._mean(r) if len(r) else 0.0) for r in rows])
 
     def _mean(self, r: np.ndarray) -> float:
-        pairs, same = len(r) - 1, np.count_nonzero(r[1:] == r[:-1])
-        pattern = PATTERN * (same * float(self.table[SAME]) + (pairs - same) * float(self.table[OTHER]))
-        return (self.sums[r].sum() + pattern) / (self.sizes[r].sum() + PATTERN * pairs)
+        pairs = self.table[pair_buckets(self.hashes[r])].sum(dtype=np.float64)
+        return (self.sums[r].sum() + pairs) / (self.sizes[r].sum() + len(r) - 1)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int) -> list:
-    """(text, quality) of the sample: not held out, ``per_class`` per class, ``max_chars`` characters in all."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int) -> tuple[list, dict[int, int]]:
+    """((text, quality) of the sample: not held out, ``per_class`` per class, ``max_chars`` characters in all; number of labels by class)."""
     votes = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where("quality in (0, 1)")
+        .where("quality in (0, 1) and doc_id is not null")
         .groupBy("doc_id")
         .agg(F.round(F.avg("quality")).cast("int").alias("quality"))
         .where(~held_out())
@@ -144,7 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     by_class = W.partitionBy("quality").orderBy("draw", "text")
     run = W.orderBy("turn", "quality").rowsBetween(W.unboundedPreceding, 0)
-    return (
+    rows = (
         texts.join(drawn, "doc_id")
         .withColumn("turn", F.row_number().over(by_class))
         .where(F.col("turn") <= per_class)
@@ -153,34 +161,50 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars:
         .select("text", "quality")
         .collect()
     )
+    return rows, n
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 20_000_000) -> tuple[np.ndarray, float]:
+    """The model, as train() returns it, from the sample of labelled rows of ``docs``."""
+    sample, n = training_rows(docs, labels, per_class, max_chars)
+    truth = [r.quality for r in sample]
+    if len(set(truth)) < 2:
+        share = (sum(truth) + 1) / (len(truth) + 2)
+        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+    table, bias = train([r.text for r in sample], truth)
+    # The sample is drawn by class; the bias is moved so that scores follow the shares among all labels.
+    ones = sum(truth)
+    return table, bias + float(np.log(n[1] / n[0]) - np.log(ones / (len(truth) - ones)))
+
+
+def _scores(scorer: Scorer, texts: pa.Array) -> np.ndarray:
+    z = scorer.logits([t or "" for t in texts.to_pylist()]) if len(texts) else np.empty(0)
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 2500, max_chars: int = 20_000_000
 ) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted, and the row key of ``docs`` if it has one."""
-    sample = training_rows(docs, labels, per_class, max_chars)
-    truth = [r.quality for r in sample]
-    if len(set(truth)) == 2:
-        table, bias = train([r.text for r in sample], truth)
-        # The sample is drawn by class; the bias is moved so that scores follow the shares among all labels.
-        shares = labels.where(~held_out()).groupBy("quality").count().where("quality in (0, 1)").collect()
-        n = {r.quality: r["count"] for r in shares}
-        ones = sum(truth)
-        bias += float(np.log(n.get(1, 1) / n.get(0, 1)) - np.log(ones / (len(truth) - ones)))
-    else:
-        share = (sum(truth) + 1) / (len(truth) + 2)
-        table, bias = np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-    model = docs.sparkSession.sparkContext.broadcast((table, bias))
+    """One row per input row: doc_id, held_out, score, predicted."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, max_chars))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(scorer, b.column(1)))], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 2500, max_chars: int = 20_000_000) -> DataFrame:
+    """The rows of ``docs`` with a score of ``cut`` or more, with all their columns. Each row is judged as it passes, so ids do not matter."""
+    model, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class, max_chars)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for b in batches:
-            z = scorer.logits(b.column(1).to_pylist()) if b.num_rows else np.empty(0)
-            score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *b.columns[2:]], ["doc_id", "score", *key])
-
-    key = [ROW] if ROW in docs.columns else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), *key)
-    scored = rows.mapInArrow(run, "doc_id long, score double" + "".join(f", {k} long" for k in key))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *key)
+            yield b.filter(pa.array(_scores(scorer, b.column(at)) >= cut, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from readloom.llm import decontaminate, exact_dedup, html_text, lm_score, mixing, quality, rangecoder, simhash, tokens, url_filter, warc
-from readloom.llm.queries import QUERIES, tokenizer_path
+from readloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, rank int"
 
@@ -264,19 +264,6 @@ def test_warc(spark):
     assert list(warc.unpack_archive(warc.pack_archive(records))) == records
 
 
-def test_pipeline(spark, data):
-    rows = QUERIES["pipeline"](spark, data).orderBy("start").collect()
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    scored = {r.doc_id for r in quality.quality_scores(docs, spark.read.parquet(f"{data}/labels.parquet")).where("predicted = 1").collect()}
-    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where(F.col("doc_id").isin(scored))).collect()}
-    leaked = {r.doc_id for r in decontaminate.contained_items(docs, spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
-    kept = {d for d, c in near.items() if d == c} - leaked
-    mix = {r.doc_id: r.repeats for r in mixing.mixed(docs.where(F.col("doc_id").isin(kept))).collect()}
-    assert Counter(r.doc_id for r in rows) == Counter({d: n for d, n in mix.items() if n})
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
-    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
-
-
 def test_similar_groups(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     r = np.random.default_rng(6)
