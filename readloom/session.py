@@ -15,10 +15,11 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, unless their import path has it already."""
-    app = spark.sparkContext.applicationId
+    """Send the package to the executors, once per application, unless they are threads of this process and its import path has it."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if app in _shipped or any(p and (Path(p) / "readloom").exists() for p in places):
+    here = (master == "local" or master.startswith("local[")) and any(p and (Path(p) / "readloom").exists() for p in places)
+    if app in _shipped or here:
         return
     archive = Path(tempfile.mkdtemp(prefix="readloom-ship-")) / "readloom.zip"
     with zipfile.ZipFile(archive, "w") as out:
