@@ -1,11 +1,14 @@
-"""Supervised subword embeddings: a text is the mean of learned vectors of its hashed words, word pairs and character n-grams.
+"""Supervised subword embeddings: a text is the mean of learned vectors of its hashed words and character n-grams.
 
-Model: h = mean of E[bucket] over all occurrences of words, of pairs of neighbouring words and of the n-grams in words, logits = h W + b, softmax over two classes, trained
+Model: h = mean of E[bucket] over all occurrences of words and of the n-grams in words, logits = h W + b, softmax over two classes, trained
 by plain stochastic gradient descent in numpy. The training rows are a bounded sample of the labelled rows (``per_class``
 rows of each class, drawn by a hash of the id; together at most ``max_chars`` characters, whole texts only); they come to
 the driver. Scores cover every row. As the output layer is linear, the difference of the two logits is a mean of one
 number per bucket, so executors get one vector of 2^18 floats and look up words, not embeddings.
 
+Words are runs without white space. One that repeats the word before it is read as the token AGAIN, which has a vector and n-grams like any
+other: otherwise a text of one word over and over would be that of this word.
+
 Defined cases: null and empty texts score by the bias alone; a null id is never learnt from and counts as not held
 out; repeated label rows vote, a tie counting as 1; labels other than 0 and 1, or null, are ignored; without rows of
 both classes each score is the smoothed share of label 1; extra columns are ignored; empty tables give empty results.
@@ -29,7 +32,7 @@ from readloom.llm.common import text_or_empty
 BITS = 18
 GRAMS = (3, 4, 5)
 CACHE = 400_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+AGAIN = " again "  # no word has a blank
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -59,16 +62,6 @@ def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[order], np.searchsorted(word[order], np.arange(len(words)))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of the pairs of neighbours, from the hashes of a text's words in turn."""
-    h = (hashes[:-1] * _MIX ^ hashes[1:]) * _MIX
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def train(texts: list[str], labels: list[int], dim: int = 16, steps: int = 30_000, rate: float = 0.6, seed: int = 1):
     """(logit of class 1 less that of class 0 for each bucket, the same of the bias)."""
     rng = np.random.default_rng(seed)
@@ -77,15 +70,13 @@ def train(texts: list[str], labels: list[int], dim: int = 16, steps: int = 30_00
     rows = []
     for text in texts:
         line = text.split()
-        words = Counter(line)
+        words = Counter(line[:1] + [AGAIN if w == before else w for before, w in zip(line, line[1:], strict=False)])
         if not words:
             rows.append((np.empty(0, np.int64), np.empty(0, np.float32)))
             continue
         flat, begins = word_buckets(list(words))
         times = np.repeat(np.fromiter(words.values(), np.float32, len(words)), np.diff(np.append(begins, len(flat))))
-        pairs = pair_buckets(word_hashes(line))
-        ids, inverse = np.unique(np.append(flat, pairs), return_inverse=True)
-        times = np.append(times, np.ones(len(pairs), np.float32))
+        ids, inverse = np.unique(flat, return_inverse=True)
         share = np.bincount(inverse, weights=times).astype(np.float32)
         rows.append((ids, share / share.sum()))
     epochs, done = -(-steps // len(rows)), 0
@@ -115,24 +106,23 @@ class Scorer:
 
     def forget(self) -> None:
         self.index: defaultdict[str, int] = defaultdict(count().__next__)
-        self.sums, self.sizes, self.hashes = np.empty(0), np.empty(0), np.empty(0, np.uint64)
+        self.sums, self.sizes, self.again = np.empty(0), np.empty(0), self.index[AGAIN]
 
     def logits(self, texts: list[str]) -> np.ndarray:
         if len(self.index) > CACHE:
             self.forget()
-        known, get = len(self.index), self.index.__getitem__
+        known, get = len(self.sums), self.index.__getitem__
         rows = [np.fromiter(map(get, w), np.int64, len(w)) for w in (t.split() for t in texts)]
         if fresh := list(self.index)[known:]:
             for at in range(0, len(fresh), 50_000):
                 flat, begins = word_buckets(fresh[at : at + 50_000])
-                self.hashes = np.append(self.hashes, word_hashes(fresh[at : at + 50_000]))
                 self.sums = np.append(self.sums, np.add.reduceat(self.table[flat].astype(np.float64), begins))
                 self.sizes = np.append(self.sizes, np.diff(np.append(begins, len(flat))))
         return np.array([self.bias + (self._mean(r) if len(r) else 0.0) for r in rows])
 
     def _mean(self, r: np.ndarray) -> float:
-        pairs = self.table[pair_buckets(self.hashes[r])].sum(dtype=np.float64)
-        return (self.sums[r].sum() + pairs) / (self.sizes[r].sum() + len(r) - 1)
+        r[1:][r[1:] == r[:-1]] = self.again
+        return self.sums[r].sum() / self.sizes[r].sum()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int) -> tuple[list, dict[int, int]]:

@@ -18,9 +18,10 @@ MASK = (1 << 64) - 1
 
 
 def plain_score(text, table, bias):
-    """Mean of the numbers of all words, pairs of neighbours and 3- to 5-grams in <word>, one by one."""
+    """Mean of the numbers of all words and 3- to 5-grams in <word>, one by one."""
     top, words, found = 64 - quality.BITS, (text or "").split(), []
-    for w in words:
+    for i, w in enumerate(words):
+        w = " again " if i and words[i - 1] == w else w
         found.append(xxhash.xxh64_intdigest(w) >> top)
         for n in quality.GRAMS:
             line = f"<{w}>"
@@ -30,9 +31,6 @@ def plain_score(text, table, bias):
                     h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & MASK
                     h ^= h >> 29
                 found.append(h >> top)
-    for a, b in zip(words, words[1:], strict=False):
-        h = ((xxhash.xxh64_intdigest(a) * 0x9E3779B97F4A7C15 & MASK) ^ xxhash.xxh64_intdigest(b)) * 0x9E3779B97F4A7C15 & MASK
-        found.append(h >> top)
     z = bias + (sum(float(table[x]) for x in found) / len(found) if found else 0.0)
     return 1 / (1 + math.exp(-z))
 
