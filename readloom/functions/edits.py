@@ -36,6 +36,86 @@ def _in(e: Column, ops: str) -> Column:
     return e["op"].isin(*ops)
 
 
+def parse_md(md: Column) -> Column:
+    """10A5^AC6 -> array of (op, len, base): matches, mismatches (X) and deletions (D) with the bases of the reference."""
+    tokens = F.regexp_extract_all(md, F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
+
+    def element(t: Column) -> Column:
+        op = F.when(t.rlike("^[0-9]"), "M").when(t.startswith("^"), "D").otherwise("X")
+        size = F.when(op == "M", t.try_cast("int")).otherwise(F.length(F.replace(t, F.lit("^"), F.lit(""))))
+        return F.struct(op.alias("op"), size.alias("len"), F.when(op != "M", F.replace(t, F.lit("^"), F.lit(""))).alias("base"))
+
+    return F.filter(F.transform(tokens, element), lambda e: e["len"] > 0)
+
+
+def merged(script: Column) -> Column:
+    """Neighbours of one kind as one element, empty elements left out."""
+    empty = F.expr("cast(array() as array<struct<op:string,len:int>>)")
+
+    def step(done: Column, e: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        one = F.array(F.struct(e["op"].alias("op"), e["len"].alias("len")))
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(e["op"].alias("op"), (last["len"] + e["len"]).alias("len"))))
+        return F.when(e["len"] <= 0, done).when((F.size(done) > 0) & (last["op"] == e["op"]), grown).otherwise(F.concat(done, one))
+
+    return F.aggregate(script, empty, step)
+
+
+def curated(script: Column, least: int) -> Column:
+    """Weak ends as trims: what lies before the first and behind the last match of ``least`` bases; neighbours merged. Without such a match all is one trim."""
+    strong = F.filter(F.transform(script, lambda e, i: F.when((e["op"] == "M") & (e["len"] >= least), i)), lambda i: i.isNotNull())
+    first, last = F.array_min(strong), F.array_max(strong)
+    trim = lambda part: F.array(F.struct(F.lit("S").alias("op"), read_length(part).alias("len")))
+    keep = lambda part: F.transform(part, lambda e: F.struct(e["op"].alias("op"), e["len"].alias("len")))
+    head = F.slice(script, F.lit(1), F.coalesce(first, F.lit(0)))
+    core = F.slice(script, F.coalesce(first, F.lit(0)) + 1, F.coalesce(last - first, F.lit(0)) + 1)
+    tail = F.slice(script, F.coalesce(last, F.lit(0)) + 2, F.size(script))
+    return F.when(F.size(strong) == 0, merged(trim(script))).otherwise(merged(F.concat(trim(head), keep(core), trim(tail))))
+
+
+def fixed_score(script: Column, length: Column) -> Column:
+    """length - 4 a mismatch - (6 + n) an indel of n; matches are not counted again."""
+    return length - _total(script, lambda e: F.when(_in(e, "X"), e["len"] * 4).when(_in(e, "ID"), e["len"] + 6).otherwise(0))
+
+
+def indel_counts(script: Column) -> tuple[Column, Column]:
+    return F.size(F.filter(script, lambda e: _in(e, "I"))), F.size(F.filter(script, lambda e: _in(e, "D")))
+
+
+def read_offsets(script: Column) -> Column:
+    """Offset in the read at which each element begins."""
+    return F.transform(script, lambda e, i: F.aggregate(F.slice(script, F.lit(1), i), F.lit(0), lambda s, x: s + F.when(_in(x, "MXIS"), x["len"]).otherwise(0)))
+
+
+def mismatch_qualities(script: Column, qualities: Column, offset: int = 33) -> Column:
+    """Array of the qualities of mismatched bases (X elements are one base each)."""
+    at = F.filter(F.zip_with(script, read_offsets(script), lambda e, o: F.when(_in(e, "X"), o)), lambda o: o.isNotNull())
+    return F.transform(at, lambda o: F.ascii(F.substring(qualities, o + 1, F.lit(1))) - offset)
+
+
+def error_quality(script: Column, qualities: Column, most: int = 60, offset: int = 33) -> Column:
+    """Mean quality of the bases at mismatches and indels, those at either end left out; ``most`` if there is none."""
+    inner = F.zip_with(script, read_offsets(script), lambda e, o: F.struct(e["op"].alias("op"), o.alias("at")))
+    n = F.size(script)
+    inner = F.filter(inner, lambda e, i: (e["op"] == "X") | (e["op"].isin("I", "D") & (i > 0) & (i < n - 1)))
+    values = F.transform(inner, lambda e: (F.ascii(F.substring(qualities, e["at"] + 1, F.lit(1))) - offset).cast("double"))
+    return F.when(F.size(values) == 0, F.lit(float(most))).otherwise(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values))
+
+
+def render_md(script: Column, bases: Column) -> Column:
+    """MD text of a script whose X and D elements have the reference's bases in ``bases``, element by element."""
+    kinds = F.zip_with(script, bases, lambda e, b: F.struct(e["op"].alias("op"), e["len"].alias("len"), b.alias("base")))
+    init = F.struct(F.lit("").alias("done"), F.lit(0).alias("run"))
+
+    def step(s: Column, e: Column) -> Column:
+        mark = F.when(e["op"] == "D", F.concat(F.lit("^"), e["base"])).otherwise(e["base"])
+        more = F.struct(F.concat(s["done"], s["run"].cast("string"), mark).alias("done"), F.lit(0).alias("run"))
+        same = F.struct(s["done"].alias("done"), (s["run"] + F.when(e["op"] == "M", e["len"]).otherwise(0)).alias("run"))
+        return F.when(e["op"].isin("X", "D"), more).otherwise(same)
+
+    return F.aggregate(kinds, init, step, lambda s: F.concat(s["done"], s["run"].cast("string")))
+
+
 def event_distance(script: Column) -> Column:
     """Number of elements that are neither match nor trim."""
     return F.size(F.filter(script, lambda e: _in(e, "XIDN")))
@@ -96,3 +176,14 @@ def render_sam_cigar(script: Column) -> Column:
         return F.struct(F.when(same, s["done"]).otherwise(put(s)).alias("done"), e["op"].alias("op"), F.when(same, s["len"] + e["len"]).otherwise(e["len"]).alias("len"))
 
     return F.aggregate(kinds, init, step, put)
+
+
+def hamming_script(read: Column, text: Column) -> Column:
+    """The script of a read and a text of its length: matches and mismatches only."""
+    pairs = F.zip_with(F.filter(F.split(read, ""), lambda c: c != ""), F.filter(F.split(text, ""), lambda c: c != ""), lambda a, b: F.struct(F.when(a == b, "M").otherwise("X").alias("op"), F.lit(1).alias("len")))
+    return merged(pairs)
+
+
+def render(script: Column) -> Column:
+    """The script as text, operation by operation."""
+    return F.array_join(F.transform(script, lambda e: F.concat(e["len"].cast("string"), e["op"])), "")

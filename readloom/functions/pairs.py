@@ -6,8 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKETS = {
-    "mmap": (0, 1, 2, 5, 10, 50, 100, 500, 1000),
-    "inss": (-100, 0, 100, 200, 300, 400, 500, 600, 700, 800, 900, 1000, 2000, 5000, 10000),
+    "mmap": (0, 1, 5, 10, 50, 100, 500, 1000),
+    "read_length": (5, 40, 80, 100, 150, 300, 800, 1000, 2000, 5000),
+    "uniq": (-1, 0, 1, 2, 3, 10, 50, 100, 500),
+    "delta_edit": tuple(range(11)),
+    "delta_swg": (0, 1, 2, 3, 4, 5, 10, 20),
+    "mapq": tuple(range(61)),
+    "junctions": (1, 2, 3),
+    "inss": tuple(range(-1000, 50010, 10)),
 }
 
 
@@ -49,3 +55,8 @@ def bucket(x: Column, edges: tuple[int, ...]) -> Column:
     for i in range(len(edges) - 1, -1, -1):
         out = F.when(x <= edges[i], i).otherwise(out)
     return out
+
+
+def width_bucket(x: Column, least: int, most: int, step: int) -> Column:
+    """Index of the step that x lies in, the ends included in the first and the last one."""
+    return F.floor((F.greatest(F.lit(least), F.least(F.lit(most - step), x)) - least) / step).cast("int")

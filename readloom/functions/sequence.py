@@ -109,3 +109,35 @@ def read_tag(raw: Column) -> dict[str, Column]:
         "casava": casava,
         "extra": F.when(extra != "", extra),
     }
+
+
+def clipped(s: Column, mode: str, left: int = 0, right: int = 0) -> Column:
+    """The effective part of a read: without N ends (uncalled), without lower-case ends (masked), without fixed ends, or whole (none)."""
+    if mode == "uncalled":
+        return F.regexp_replace(s, "^N+|N+$", "")
+    if mode == "masked":
+        return F.regexp_replace(s, "^[a-z]+|[a-z]+$", "")
+    return F.substring(s, F.lit(left + 1), F.greatest(F.length(s) - left - right, F.lit(0))) if mode == "fixed" else s
+
+
+def wildcards(s: Column) -> Column:
+    return F.length(s) - F.length(F.regexp_replace(s, "[^ACGTacgt]", ""))
+
+
+def runs(s: Column) -> Column:
+    """Array of (begin, len) of the homopolymers of a sequence."""
+    lens = F.transform(F.regexp_extract_all(s, F.lit(r"((.)\2*)"), F.lit(1)), F.length)
+    return F.transform(lens, lambda n, i: F.struct(F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda t, x: t + x).alias("begin"), n.alias("len")))
+
+
+def index_texts(s: Column) -> dict[str, Column]:
+    """The texts that an index holds of a sequence: both strands, and each with C as T and with G as A."""
+    both = {"F": s, "R": reverse_complement(s)}
+    return {**both, **{f"{n}:{k}": bisulfite(t, k) for k in ("C2T", "G2A") for n, t in both.items()}}
+
+
+def called_intervals(s: Column, least: int = 50) -> Column:
+    """Array of (begin, stop, called): runs of ``least`` N or more are uncalled, what lies between is called."""
+    parts = F.regexp_extract_all(s, F.lit(rf"(N{{{least},}}|(?:(?!N{{{least},}}).)+)"), F.lit(1))
+    at = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda t, x: t + F.length(x))
+    return F.transform(parts, lambda p, i: F.struct(at(i).alias("begin"), (at(i) + F.length(p)).alias("stop"), (~p.rlike(f"^N{{{least},}}$")).alias("called")))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions import pairs as P
+from readloom.functions import sequence as S
+from readloom.functions.alignment import edit_alignment
 
 
 def candidate_pairs(end1: DataFrame, end2: DataFrame) -> DataFrame:
@@ -58,3 +60,11 @@ def ends_in_pairs(end: DataFrame, pairs: DataFrame, side: int) -> DataFrame:
     for k in keys:
         same = same & k
     return end.alias("e").join(pairs.alias("p"), same, "left_semi")
+
+
+def rescued(mapped: DataFrame, text: str, begin: str, mate: str, ahead: int, most: int) -> DataFrame:
+    """Adds distance and begin (from 1) of the mate, searched on the other strand in the ``ahead`` bases from a mapped end on; rows without one within ``most`` edits go."""
+    window = F.substring(F.col(text), F.col(begin) + 1, F.lit(ahead))
+    found = edit_alignment(S.reverse_complement(F.col(mate)), window)
+    rows = mapped.withColumn("readloom_hit", found).where(-F.col("readloom_hit.score") <= most)
+    return rows.withColumn("distance", -F.col("readloom_hit.score")).withColumn("begin", F.col(begin) + F.col("readloom_hit.begin") + 1).drop("readloom_hit")

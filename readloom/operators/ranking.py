@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +36,16 @@ def counters(maps: DataFrame) -> DataFrame:
 
 def two_best(maps: DataFrame) -> DataFrame:
     """(tag, n_maps, min1, min2, max1, max2): the two least distances and two best scores, ties included."""
-    d, s = F.sort_array(F.collect_list("event_distance")), F.sort_array(F.collect_list("phred"), asc=False)
-    by = maps.groupBy("tag").agg(F.count("*").alias("n_maps"), d.alias("d"), s.alias("s"))
-    return by.select("tag", "n_maps", F.get("d", F.lit(0)).alias("min1"), F.get("d", F.lit(1)).alias("min2"), F.get("s", F.lit(0)).alias("max1"), F.get("s", F.lit(1)).alias("max2"))
+    w = W.partitionBy("tag")
+    placed = maps.select(
+        "tag", "event_distance", "phred",
+        F.row_number().over(w.orderBy("event_distance")).alias("near"), F.row_number().over(w.orderBy(F.desc("phred"))).alias("good"),
+    )
+    at = lambda value, place, k: F.max(F.when(F.col(place) == k, F.col(value)))
+    return placed.groupBy("tag").agg(
+        F.count("*").alias("n_maps"), at("event_distance", "near", 1).alias("min1"), at("event_distance", "near", 2).alias("min2"),
+        at("phred", "good", 1).alias("max1"), at("phred", "good", 2).alias("max2"),
+    )
 
 
 def classified(templates: DataFrame, maps: DataFrame) -> DataFrame:
@@ -71,13 +81,36 @@ def softmax_scores(maps: DataFrame, cap: int = 254) -> DataFrame:
 
 def regions(positions: DataFrame, bandwidth: int) -> DataFrame:
     """(tag, seq_name, begin, end, n): positions grouped while they lie within ``bandwidth`` of the group's first one."""
-    per = positions.groupBy("tag", "seq_name").agg(F.sort_array(F.collect_list("position")).alias("p"))
-    start = F.expr("cast(array() as array<struct<begin:bigint,end:bigint,n:bigint>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["begin"].alias("begin"), x.alias("end"), (last["n"] + 1).alias("n"))
-        new = F.array(F.struct(x.alias("begin"), x.alias("end"), F.lit(1).cast("bigint").alias("n")))
-        return F.when(F.size(acc) == 0, new).when(x - last["begin"] <= bandwidth, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, new))
-
-    return per.select("tag", "seq_name", F.inline(F.aggregate("p", start, step)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pass over rows in order; the group that is open is all that is held."""
+        key, group, schema = None, None, None
+        for b in batches:
+            out, schema = [], b.schema
+            for tag, seq_name, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and (tag, seq_name) == key and x - group[0] <= bandwidth:
+                    group[1], group[2] = x, group[2] + 1
+                    continue
+                if group:
+                    out.append((*key, *group))
+                key, group = (tag, seq_name), [x, x, 1]
+            yield _rows(out, b.schema)
+        if group:
+            yield _rows([(*key, *group)], schema)
+
+    rows = positions.select("tag", "seq_name", F.col("position").cast("bigint").alias("position"))
+    ordered = rows.repartition("tag", "seq_name").sortWithinPartitions("tag", "seq_name", "position")
+    return ordered.mapInArrow(run, f"tag {rows.schema['tag'].dataType.simpleString()}, seq_name string, begin bigint, end bigint, n bigint")
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * 5
+    types = [schema.field(0).type, schema.field(1).type, pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["tag", "seq_name", "begin", "end", "n"])
+
+
+def subdominant_truth(maps: DataFrame, true: Column) -> DataFrame:
+    """True maps of reads with several maps that are farther off than the read's nearest one, with that distance as best."""
+    w = W.partitionBy("tag")
+    rows = maps.withColumn("best", F.min("event_distance").over(w)).withColumn("readloom_n", F.count("*").over(w))
+    return rows.where((F.col("readloom_n") > 1) & true & (F.col("event_distance") > F.col("best"))).drop("readloom_n")

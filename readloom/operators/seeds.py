@@ -6,10 +6,11 @@ equi-join of pieces with the k-mer table of the text finds every match; each can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
+from readloom.functions.alignment import semi_global_distance
 
 
 def kmer_index(ref: DataFrame, k: int) -> DataFrame:
@@ -67,3 +68,60 @@ def cheapest_seeds(reads: DataFrame, counts: DataFrame, k: int, n: int) -> DataF
     met = seeds.join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = W.partitionBy("tag").orderBy("n", "offset")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("tag", "offset", "kmer", "n")
+
+
+def to_position(places: DataFrame, located: DataFrame) -> DataFrame:
+    """(seq_name, offset) -> pos in the concatenated text, with the sequence's begin and end."""
+    return places.join(located, "seq_name").withColumn("pos", F.col("begin") + F.col("offset"))
+
+
+def candidate_windows(placed: DataFrame, length: int, errors: int) -> DataFrame:
+    """Adds least and most: the text in which a read at pos with up to ``errors`` edits lies, within its sequence."""
+    return placed.withColumn("least", F.greatest("begin", F.col("pos") - errors)).withColumn("most", F.least("end", F.col("pos") + length + errors))
+
+
+def edit_matches(reads: DataFrame, ref: DataFrame, errors: int, length: int) -> DataFrame:
+    """(tag, seq_name, distance, stop) of each sequence with a piece within ``errors`` edits of a read, the nearest piece.
+
+    One of the errors + 1 pieces of the read occurs there without error, so the equi-join of pieces finds every candidate; windows of
+    candidates near each other are verified once, and each by a bit-parallel pass.
+    """
+    sizes = sorted({((i + 1) * length) // (errors + 1) - (i * length) // (errors + 1) for i in range(errors + 1)})
+    cut = reads.select("tag", "read", F.inline(S.pieces(F.col("read"), errors + 1)).alias("at", "kmer"))
+    found = None
+    for k in sizes:
+        hits = cut.where(F.length("kmer") == k).join(kmer_index(ref, k), "kmer").select("tag", "read", "seq_name", (F.col("offset") - F.col("at")).alias("offset"))
+        found = hits if found is None else found.unionByName(hits)
+    step = length
+    near = found.select("tag", "read", "seq_name", F.floor(F.greatest(F.col("offset"), F.lit(0)) / step).cast("int").alias("bin")).distinct()
+    window = F.substring("text", F.greatest(F.col("bin") * step - errors, F.lit(0)) + 1, F.lit(2 * length + 3 * errors))
+    checked = near.join(ref, "seq_name").select("tag", "seq_name", semi_global_distance(F.col("read"), window, errors).alias("hit"), (F.greatest(F.col("bin") * step - errors, F.lit(0))).alias("shift"))
+    best = checked.where("hit.distance is not null").groupBy("tag", "seq_name").agg(F.min(F.struct(F.col("hit.distance").alias("distance"), (F.col("hit.stop") + F.col("shift")).alias("stop"))).alias("best"))
+    return best.select("tag", "seq_name", "best.distance", "best.stop")
+
+
+def select_seeds(reads: DataFrame, kind: str, counts: DataFrame | None = None, k: int = 20, n: int = 5) -> DataFrame:
+    """(tag, offset, kmer) of the seeds of a strategy by name: fixed, factor or cheapest."""
+    if kind == "fixed":
+        return reads.select("tag", F.inline(S.kmers(F.col("read"), k, k)))
+    if kind == "factor":
+        return reads.select("tag", F.inline(S.pieces(F.col("read"), n)))
+    if kind == "cheapest":
+        return cheapest_seeds(reads, counts, k, n).select("tag", "offset", "kmer")
+    raise ValueError(f"no seed strategy {kind!r}")
+
+
+def write_index(index: DataFrame, path: str, by: int = 3) -> None:
+    """A k-mer index as Parquet in parts by the first bases of the k-mer, sorted within, so that a look-up prunes parts and row groups."""
+    index.withColumn("part", F.substring("kmer", 1, by)).repartition("part").sortWithinPartitions("part", "kmer").write.partitionBy("part").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return (rows if part is None else rows.where(F.col("part") == part)).drop("part")
+
+
+def verified_once(candidates: DataFrame, read: str, text: str) -> DataFrame:
+    """Adds distance (mismatches): each different pair of texts is compared once, whatever the number of candidates that have it."""
+    pairs = candidates.select(read, text).distinct().withColumn("distance", S.hamming(F.col(read), F.col(text)))
+    return candidates.join(pairs, [read, text])

@@ -75,3 +75,35 @@ def one_per_end(maps: DataFrame) -> DataFrame:
         w = W.partitionBy("tag", "seq_name", "strand", key).orderBy(*best_first())
         end = end.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
     return end.drop("stop")
+
+
+def merged(files: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Maps of any number of files (maps, complete strata), one per strict key: least distance, number of files, least strata of these files."""
+    rows = None
+    for i, (maps, mcs) in enumerate(files):
+        own = maps.select(*STRICT, "event_distance", F.lit(i).alias("file"), F.lit(mcs).alias("mcs"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy(*STRICT).agg(F.min("event_distance").alias("event_distance"), F.count_distinct("file").alias("files"), F.min("mcs").alias("mcs"))
+
+
+def in_any_order(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of ``a`` (tag, seq_name, strand1, position1, length1, strand2, ...) with met: ``b`` has them with their ends in either order.
+
+    Both sides are put in one order of ends, so the comparison stays an equi-join.
+    """
+    ends = [F.struct(*[F.col(f"{c}{i}").alias(c) for c in ("strand", "position", "length")]) for i in (1, 2)]
+    ordered = lambda p: p.withColumn("readloom_low", F.least(*ends)).withColumn("readloom_high", F.greatest(*ends))
+    key = ["tag", "seq_name", "readloom_low", "readloom_high"]
+    there = ordered(b).select(*key).distinct().withColumn("met", F.lit(True))
+    return ordered(a).join(there, key, "left").withColumn("met", F.coalesce("met", F.lit(False))).drop("readloom_low", "readloom_high")
+
+
+OPERATIONS = {"union": union, "intersection": intersection, "difference": difference, "compare": compare}
+
+
+def operation(name: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The operation of a name or of the beginning of one, in any case."""
+    found = [f for n, f in OPERATIONS.items() if n.startswith(name.lower())]
+    if len(found) != 1 or not name:
+        raise ValueError(f"{name!r} is no operation, or several: {', '.join(OPERATIONS)}")
+    return found[0]

@@ -56,3 +56,19 @@ def roc(scored: DataFrame, score: str, truth: str) -> DataFrame:
     per = scored.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth)).alias("tp"), F.count_if(~F.col(truth)).alias("fp"))
     w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)  # one row per score value
     return per.select("*", F.sum("tp").over(w).alias("all_tp"), F.sum("fp").over(w).alias("all_fp"))
+
+
+def partial_moments(df: DataFrame, key: str, value: str) -> DataFrame:
+    """What merged_moments() adds up: count, sums of values and squares, least and most."""
+    v = F.col(value)
+    return df.groupBy(key).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.sum(v.cast("double") * v).alias("squares"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def merged_moments(parts: list[DataFrame], key: str) -> DataFrame:
+    """The moments of all parts together, as one pass over their rows would give them."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    all_ = rows.groupBy(key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("least").alias("least"), F.max("most").alias("most"))
+    variance = F.when(F.col("n") > 1, (F.col("squares") - F.col("total").cast("double") * F.col("total") / F.col("n")) / (F.col("n") - 1))
+    return all_.select(key, "n", "total", "least", "most", F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round(variance, 6).alias("variance"))

@@ -142,7 +142,7 @@ simple("MTH_37_sam_flag", V.maps, lambda m: ranking.ranked(m).select("tag", "pos
 simple("MTH_38_sam_cigar", V.maps, lambda m: script(m).select("tag", "position", "length", "phred", E.render_sam_cigar(F.col("x")).alias("cigar")),
        "SELECT tag, position, length, phred, (position + 1 + length)::VARCHAR || 'M' || event_distance || 'D5M2I' || phred || 'M' AS cigar FROM maps", "maps")
 simple("MTH_41_buckets", V.maps, lambda m: m.groupBy("tag").agg(F.count("*").alias("n")).select("tag", P.bucket(F.col("n"), P.BUCKETS["mmap"]).alias("bucket")),
-       "SELECT tag, CASE WHEN count(*) <= 0 THEN 0 WHEN count(*) <= 1 THEN 1 WHEN count(*) <= 2 THEN 2 WHEN count(*) <= 5 THEN 3 WHEN count(*) <= 10 THEN 4 WHEN count(*) <= 50 THEN 5 ELSE 6 END AS bucket FROM maps GROUP BY tag", "maps")
+       "SELECT tag, CASE WHEN count(*) <= 0 THEN 0 WHEN count(*) <= 1 THEN 1 WHEN count(*) <= 5 THEN 2 WHEN count(*) <= 10 THEN 3 WHEN count(*) <= 50 THEN 4 ELSE 5 END AS bucket FROM maps GROUP BY tag", "maps")
 
 # Pairs
 
@@ -365,3 +365,6 @@ simple("SNK_6_fastq_echo", V.reads, lambda r: r.select("tag", R.fastq_record(F.c
 @query("STM_1_windowed_template_size", "SELECT date_trunc('day', ts) AS begin, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1")
 def windowed(s, d):
     return windowed_template_size(V.load(s, d, "events").select(F.col("ts"), F.col("value").alias("template_length")))
+
+
+from readloom.plans import joined, scored, whole  # noqa: E402, F401 (they register their queries here)
