@@ -372,6 +372,7 @@ def read_tokens(manifest: DataFrame, folder: str, n_files: int) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # the worker has written its files; what follows needs the memory
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 doc_ids, lengths, ids = unpack_file(read_file(folder, name))
