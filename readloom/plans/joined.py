@@ -72,7 +72,7 @@ def mate_rescue(s, d):
 
 # Seeds
 
-P_KMERS = "pk AS (SELECT tag, (i - 1)::INT AS at, k, substr(read, i, k) AS kmer FROM (SELECT tag, read, k, unnest(range(1, 34 - k)) AS i FROM planted_reads, (SELECT unnest([{ks}]) AS k))), rk AS (SELECT k, kmer, count(*) AS n FROM (SELECT k, substr(text, i, k) AS kmer FROM (SELECT text, k, unnest(range(1, 130 - k)) AS i FROM ref, (SELECT unnest([{ks}]) AS k))) GROUP BY ALL), pc AS (SELECT tag, at, k, coalesce(n, 0) AS n FROM pk LEFT JOIN rk USING (k, kmer))"
+P_KMERS = "pk AS (SELECT tag, (i - 1)::INT AS o, k, substr(read, i, k) AS kmer FROM (SELECT tag, read, k, unnest(range(1, 34 - k)) AS i FROM planted_reads, (SELECT unnest([{ks}]) AS k))), rk AS (SELECT k, kmer, count(*) AS n FROM (SELECT k, substr(text, i, k) AS kmer FROM (SELECT text, k, unnest(range(1, 130 - k)) AS i FROM ref, (SELECT unnest([{ks}]) AS k))) GROUP BY ALL), pc AS (SELECT tag, o, k, coalesce(n, 0) AS n FROM pk LEFT JOIN rk USING (k, kmer))"
 
 
 def counts_of(s, d, ks):
@@ -80,28 +80,28 @@ def counts_of(s, d, ks):
     return partitions.piece_counts(V.planted_reads(s, d), {k: seeds.kmer_counts(seeds.kmer_index(r, k)) for k in ks})
 
 
-@query("SED_5_optimal_fixed_seeds", f"WITH {P_KMERS.format(ks='8')} SELECT a.tag, min(a.n + b.n + c.n)::BIGINT AS total FROM pc a JOIN pc b ON a.tag = b.tag AND b.at >= a.at + 8 JOIN pc c ON c.tag = b.tag AND c.at >= b.at + 8 GROUP BY a.tag", "planted_reads", "ref")
+@query("SED_5_optimal_fixed_seeds", f"WITH {P_KMERS.format(ks='8')} SELECT a.tag, min(a.n + b.n + c.n)::BIGINT AS total FROM pc a JOIN pc b ON a.tag = b.tag AND b.o >= a.o + 8 JOIN pc c ON c.tag = b.tag AND c.o >= b.o + 8 GROUP BY a.tag", "planted_reads", "ref")
 def optimal_fixed(s, d):
     return partitions.optimal_seeds(counts_of(s, d, [8]), 8, 3)
 
 
-@query("SED_6_optimal_partition", f"WITH {P_KMERS.format(ks='8, 10, 12, 14, 16')} SELECT a.tag, min(a.n + b.n + c.n)::BIGINT AS total FROM pc a JOIN pc b ON a.tag = b.tag AND b.at = a.k JOIN pc c ON c.tag = b.tag AND c.at = b.at + b.k WHERE a.at = 0 AND c.at + c.k = 32 GROUP BY a.tag", "planted_reads", "ref")
+@query("SED_6_optimal_partition", f"WITH {P_KMERS.format(ks='8, 10, 12, 14, 16')} SELECT a.tag, min(a.n + b.n + c.n)::BIGINT AS total FROM pc a JOIN pc b ON a.tag = b.tag AND b.o = a.k JOIN pc c ON c.tag = b.tag AND c.o = b.o + b.k WHERE a.o = 0 AND c.o + c.k = 32 GROUP BY a.tag", "planted_reads", "ref")
 def optimal_variable(s, d):
     return partitions.optimal_partition(counts_of(s, d, [8, 10, 12, 14, 16]), 32, 3)
 
 
 ADAPTIVE = "WITH RECURSIVE " + P_KMERS.format(ks="{ks}") + """, g AS (
-    SELECT tag, 32 AS stop, 31 AS at, -1 AS found, 0::BIGINT AS n, 0 AS more, 0 AS closed, 0 AS c_begin, 0 AS c_stop, 0::BIGINT AS c_n FROM planted_reads
+    SELECT tag, 32 AS stop, 31 AS o, -1 AS found, 0::BIGINT AS n, 0 AS more, 0 AS closed, 0 AS c_begin, 0 AS c_stop, 0::BIGINT AS c_n FROM planted_reads
     UNION ALL
-    SELECT g.tag, CASE WHEN close THEN found ELSE stop END, CASE WHEN close THEN at ELSE at - 1 END,
-        CASE WHEN close THEN -1 WHEN take THEN at ELSE found END, CASE WHEN close THEN 0 WHEN take THEN here ELSE n END, CASE WHEN close THEN 0 WHEN take AND found >= 0 THEN more + 1 ELSE more END,
+    SELECT g.tag, CASE WHEN close THEN found ELSE stop END, CASE WHEN close THEN o ELSE o - 1 END,
+        CASE WHEN close THEN -1 WHEN take THEN o ELSE found END, CASE WHEN close THEN 0 WHEN take THEN here ELSE n END, CASE WHEN close THEN 0 WHEN take AND found >= 0 THEN more + 1 ELSE more END,
         CASE WHEN close THEN 1 ELSE 0 END, found, stop, n
     FROM (SELECT g.*, coalesce(pc.n, 1099511627776) AS here, found < 0 AND coalesce(pc.n, 1099511627776) <= {th} OR found >= 0 AND more < {steps} AND coalesce(pc.n, 1099511627776) < g.n {short} AS take,
             found >= 0 AND NOT (more < {steps} AND coalesce(pc.n, 1099511627776) < g.n {short}) AS close
-        FROM g LEFT JOIN pc ON pc.tag = g.tag AND pc.at = g.at AND pc.k = g.stop - g.at WHERE g.at >= 0) g)
+        FROM g LEFT JOIN pc ON pc.tag = g.tag AND pc.o = g.o AND pc.k = g.stop - g.o WHERE g.o >= 0) g)
 """
 ALL_K = ", ".join(map(str, range(1, 13)))
-DONE = "SELECT tag, c_begin AS begin, c_stop AS stop, c_n AS n FROM g WHERE closed = 1 UNION ALL SELECT tag, found, stop, n FROM g WHERE at = -1 AND found >= 0"
+DONE = "SELECT tag, c_begin AS begin, c_stop AS stop, c_n AS n FROM g WHERE closed = 1 UNION ALL SELECT tag, found, stop, n FROM g WHERE o = -1 AND found >= 0"
 
 
 @query("SED_7_adaptive_regions", ADAPTIVE.format(ks=ALL_K, th=20, steps=4, short="") + DONE, "planted_reads", "ref")
@@ -109,7 +109,7 @@ def adaptive(s, d):
     return partitions.adaptive_regions(counts_of(s, d, range(1, 13)), 32, 20, 4)
 
 
-@query("SED_8_adaptive_limited", ADAPTIVE.format(ks=ALL_K, th=20, steps=4, short="AND g.stop - g.at <= 8") + DONE, "planted_reads", "ref")
+@query("SED_8_adaptive_limited", ADAPTIVE.format(ks=ALL_K, th=20, steps=4, short="AND g.stop - g.o <= 8") + DONE, "planted_reads", "ref")
 def adaptive_limited(s, d):
     return partitions.adaptive_regions(counts_of(s, d, range(1, 13)), 32, 20, 4, most=8)
 
@@ -126,7 +126,7 @@ def scheduled(s, d):
     return whole.join(r, ["tag", "i"]).join(mcs, "tag").select("tag", F.col("from").alias("begin"), F.col("to").alias("stop"), "degree", "mcs")
 
 
-@query("SED_9_maximal_matches", f"WITH {P_KMERS.format(ks=', '.join(map(str, range(4, 33))))}, m AS (SELECT tag, min(at) AS begin, at + k AS stop FROM pc WHERE n > 0 GROUP BY tag, at + k) SELECT tag, begin::INT AS begin, stop::INT AS stop, NOT EXISTS (SELECT 1 FROM m b WHERE a.tag = b.tag AND b.begin <= a.begin AND b.stop >= a.stop AND (b.begin, b.stop) <> (a.begin, a.stop)) AS super FROM m a WHERE tag <= 20", "planted_reads", "ref")
+@query("SED_9_maximal_matches", f"WITH {P_KMERS.format(ks=', '.join(map(str, range(4, 33))))}, m AS (SELECT tag, min(o) AS begin, o + k AS stop FROM pc WHERE n > 0 GROUP BY tag, o + k) SELECT tag, begin::INT AS begin, stop::INT AS stop, NOT EXISTS (SELECT 1 FROM m b WHERE a.tag = b.tag AND b.begin <= a.begin AND b.stop >= a.stop AND (b.begin, b.stop) <> (a.begin, a.stop)) AS super FROM m a WHERE tag <= 20", "planted_reads", "ref")
 def maximal(s, d):
     r = V.ref(s, d)
     few = V.planted_reads(s, d).where("tag <= 20")
