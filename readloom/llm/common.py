@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and U+0009 to U+000D.
@@ -14,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: The key of a row among those of its table, where a stage carries one.
 ROW = "readloom_row"
+_FILE, _PLACE = "readloom_file", "readloom_place"
 
 _own_dir: str | None = None
 _written: list[str] = []
@@ -84,8 +87,25 @@ def note_scratch(path: str) -> str:
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique key per row in column ROW; written once, as a key that is computed again may differ."""
-    return docs if ROW in docs.columns else materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    """``docs`` with a unique key per row in column ROW.
+
+    Rows of Parquet files have one in the number of their file and their place in it. Else the table is written with a key once, as a
+    key that is computed again may differ.
+    """
+    if ROW in docs.columns:
+        return docs
+    try:
+        files_alone = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+        own = docs.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_PLACE)) if files_alone else None
+    except AnalysisException:  # files without row numbers
+        own = None
+    if own is None:
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    files = own.select(_FILE).distinct()
+    number = F.row_number().over(W.orderBy(_FILE))  # one row per file
+    files = materialize(files.select(_FILE, F.shiftleft(number.cast("long"), 40).alias(ROW)), "files")
+    sent = F.broadcast(files) if files.count() <= 1 << 16 else files
+    return own.join(sent, _FILE).withColumn(ROW, F.col(ROW) + F.col(_PLACE)).drop(_FILE, _PLACE)
 
 
 def text_or_empty(col: str | Column) -> Column:
