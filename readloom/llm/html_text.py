@@ -1,17 +1,21 @@
 """Main text of web pages through wrappers inferred from the pages of the same host.
 
-A page is read as a stream of tokens: block elements by their place (the labels of the open block elements) and the
-text blocks between them. A wrapper is a union-free regular expression over that stream. It starts as
-the stream of one page; each further page is aligned with it by place, and mismatches are resolved: a place that
-one of them lacks becomes optional, one that occurs several times a repeated group, and a text that differs a text
-slot; texts that never differ stay constants of the template. Aligning is associative, so tasks align what they read and
-give a row per host and place; these are added up by host and place, all of them, so no task holds a whole wrapper.
+A page is read as a stream of tokens: block elements and the text blocks between them. A wrapper is a union-free regular expression
+over that stream, and is found by aligning the pages of a host, element by element from the root down:
+
+1. Children of one label (tag and class names) are aligned in their order, the k-th with the k-th, as long as every page has the same
+   number of them. Where the numbers differ, the mismatch is resolved into a repeated group: all children of this label are one.
+2. A place (the labels from the root down, with their k where order counts) that a page lacks becomes optional; a text that differs from the
+   one at the same place of another page becomes a text slot, one that never differs stays a constant of the template.
+
+Both steps are associative, so tasks align what they read, and give rows by host and place that are added up, all of them: no task holds a
+whole wrapper, and a host of a third of all pages is shared out like any other.
 
 What a page's text is: elements that are chrome by their tag, role or class go (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles); then, if the page has article or main elements, all their blocks stay; else
 those below the wrapper's main place: the deepest that holds most of the host's variable text. Constants of the
 wrapper (the same on three different pages or more) are dropped outside article and main, and inside where a class or id
-marks a short block that is the same on five different pages or more, headings excepted. Pages of the same blocks count as one page
+marks a block that is the same on five different pages or more, headings excepted. Pages of the same blocks count as one page
 there, so copies of a page do not make its text constant; a text on fewer pages counts as variable. On hosts without variable text nothing counts as constant.
 
 Inside a block white space (br included) becomes one space; blocks are joined by two line feeds. Defined cases: null
@@ -102,18 +106,32 @@ def _is_chrome(tag: str, attrs: dict[str, str], within_main: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _CHROME_ROLE:
         return True
+    if tag not in _BLOCK:
+        return False  # a word of a sentence, whatever its class
     words = _words(attrs)
     return bool(words & _CHROME_WORD) or (not within_main and bool(words & _HEADER_WORD))
 
 
-def read_page(html: str) -> tuple[list[Block], Counter[str]]:
-    """The text blocks that are not chrome, and how often each place of a block element occurs."""
+class Open:
+    """An open element. ``labels`` are those from the root down, ``kids`` how many block elements of each label it has so far."""
+
+    __slots__ = ("tag", "place", "chrome", "main", "marked", "labels", "kids")
+
+    def __init__(self, tag: str, place: str, chrome: bool, main: int, marked: bool, labels: str, kids: dict[str, int]):
+        self.tag, self.place, self.chrome, self.main, self.marked, self.labels, self.kids = tag, place, chrome, main, marked, labels, kids
+
+
+def read_page(html: str, ordered: frozenset[str] = frozenset(), counts: dict[str, list[int]] | None = None) -> tuple[list[Block], Counter[str]]:
+    """The text blocks that are not chrome, and how often each place of a block element occurs.
+
+    Elements whose labels are in ``ordered`` are told apart by their number among their like. ``counts`` takes the least and the largest number of
+    children by label that an element of the page has.
+    """
     blocks: list[Block] = []
     places: Counter[str] = Counter()
-    # Open elements: (tag, place, chrome, number of main element, has class or id)
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, False)]
+    stack = [Open("", "", False, 0, False, "", {})]
     parts: list[str] = []
-    began: tuple[str, str, bool, int, bool] | None = None
+    began: Open | None = None
     mains = 0
 
     def flush() -> None:
@@ -121,21 +139,26 @@ def read_page(html: str) -> tuple[list[Block], Counter[str]]:
         if began is not None:
             text = _SPACES.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                blocks.append(Block(began[1], text, began[3], began[1].rpartition("/")[2].partition(".")[0], began[4]))
+                blocks.append(Block(began.place, text, began.main, began.place.rpartition("/")[2].partition(".")[0], began.marked))
         parts.clear()
         began = None
 
     def say(text: str) -> None:
         nonlocal began
         top = stack[-1]
-        if text and not top[2]:
+        if text and not top.chrome:
             if began is None and not text.isspace():
-                began = next((e for e in reversed(stack) if e[0] in _BLOCK), stack[0])
+                began = next((e for e in reversed(stack) if e.tag in _BLOCK), stack[0])
             parts.append(text)
 
     def close_to(i: int) -> None:
-        if any(e[0] in _BLOCK for e in stack[i:]):
+        if any(e.tag in _BLOCK for e in stack[i:]):
             flush()
+        if counts is not None:
+            for e in stack[i:]:
+                for label, n in e.kids.items() if e.tag in _BLOCK or not e.tag else ():
+                    least_most = counts.setdefault(f"{e.labels}/{label}", [n, n])
+                    least_most[0], least_most[1] = min(least_most[0], n), max(least_most[1], n)
         del stack[i:]
 
     at = 0
@@ -147,10 +170,10 @@ def read_page(html: str) -> tuple[list[Block], Counter[str]]:
             continue
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     close_to(i)
                     break
-                if stack[i][0] in ("article", "main", "body", "table") and tag not in ("html", "body", "article", "main", "table", "section", "div"):
+                if stack[i].tag in ("article", "main", "body", "table") and tag not in ("html", "body", "article", "main", "table", "section", "div"):
                     break  # a stray end tag does not close what it is not in
             else:
                 if tag in _BLOCK:
@@ -162,9 +185,9 @@ def read_page(html: str) -> tuple[list[Block], Counter[str]]:
         if tag in _CLOSES_P or tag in _CLOSES:
             also, stop = _CLOSES.get(tag, (set(), set()))
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in stop or stack[i][0] in ("article", "main", "body") or (stack[i][0] in _BLOCK and stack[i][0] not in also and stack[i][0] != "p"):
+                if stack[i].tag in stop or stack[i].tag in ("article", "main", "body") or (stack[i].tag in _BLOCK and stack[i].tag not in also and stack[i].tag != "p"):
                     break
-                if stack[i][0] in also or (stack[i][0] == "p" and tag in _CLOSES_P):
+                if stack[i].tag in also or (stack[i].tag == "p" and tag in _CLOSES_P):
                     close_to(i)
                     break
         if tag in _BLOCK:
@@ -173,30 +196,38 @@ def read_page(html: str) -> tuple[list[Block], Counter[str]]:
             continue
         top = stack[-1]
         attrs = _attributes(m["attrs"])
-        main, chrome = top[3], top[2]
+        main, chrome = top.main, top.chrome
         is_main = tag in ("article", "main") or attrs.get("role") == "main"
         own = _is_chrome(tag, attrs, main > 0)
-        if is_main and not own and chrome and not any(e[0] in _CHROME for e in stack):
-            chrome = False  # a class such as with-sidebar on what holds the article
+        if is_main and not own and chrome and not any(e.tag in _CHROME and e.tag != "form" for e in stack):
+            chrome = False  # a class such as with-sidebar on what holds the article, or a form around the page
         chrome = chrome or own
-        if is_main and not chrome and (main == 0 or tag == "article" and not any(e[0] == "article" for e in stack)):
+        if is_main and not chrome and (main == 0 or tag == "article" and not any(e.tag == "article" for e in stack)):
             mains += 1
             main = mains
-        place, marked = top[1], top[4]
+        place, labels, marked, kids = top.place, top.labels, top.marked, top.kids
         if tag in _BLOCK:
             names = "".join("." + w for w in sorted(_words(attrs)))
-            if len(stack) <= _DEEP:
-                place = f"{place}/{tag}{_DIGITS.sub('0', names)[:80]}"
-            marked = bool(names)
+            label = tag + _DIGITS.sub("0", names)
+            kids[label] = number = kids.get(label, 0) + 1
+            labels = f"{labels}/{label}"
+            if labels in ordered:
+                label = f"{label}.#{number}"
+            if len(stack) > _DEEP:  # a short name for a long path
+                label, place = f"{tag}.~{xxhash.xxh64_hexdigest(f'{place}/{label}')}", stack[_DEEP].place
+                labels = f"{stack[_DEEP].labels}/~{xxhash.xxh64_hexdigest(labels)}"
+            place = f"{place}/{label}"
+            marked, kids = bool(names), {}
             places[place] += 1
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
             at = end.end() if end else len(html)
             continue
         if not m["attrs"].endswith("/") or tag in _BLOCK:
-            stack.append((tag, place, chrome, main, marked))
+            stack.append(Open(tag, place, chrome, main, marked, labels, kids))
     say(html[at:])
     flush()
+    close_to(0)
     return blocks, places
 
 
@@ -268,16 +299,16 @@ class Wrapper:
         return main, same, {p: h for p, h in same.items() if len(self.places[p][4]) >= 5}
 
 
-def main_text(html: str, decided: tuple[str, dict[str, int], dict[str, int]]) -> str:
-    """The main text of a page, by the decisions of its host's wrapper."""
+def main_text(html: str, decided: tuple[str, dict[str, int], dict[str, int]], ordered: frozenset[str] = frozenset()) -> str:
+    """The main text of a page, by the decisions of its host's wrapper and the labels whose order counts there."""
     main, same, same_inside = decided
-    blocks, _ = read_page(html)
+    blocks, _ = read_page(html, ordered)
     kept = [b for b in blocks if b.main]
     if kept:
         if same_inside:
             kept = [
                 b for b in kept
-                if not (b.marked and b.tag not in _HEADING and len(b.text) < 300 and b.place in same_inside and same_inside[b.place] == xxhash.xxh64_intdigest(b.text))
+                if not (b.marked and b.tag not in _HEADING and b.place in same_inside and same_inside[b.place] == xxhash.xxh64_intdigest(b.text))
             ]
     else:
         kept = [b for b in blocks if b.place == main or b.place.startswith(main + "/")] or blocks
@@ -289,8 +320,53 @@ def page_host(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit("")))
 
 
+def ordered_labels(pages: DataFrame) -> DataFrame:
+    """(host, ordered) of a table (host, html): the labels of which every element that has them has the same number, two or more."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, list[int]]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(h, labels, *n) for h, c in known.items() for labels, n in c.items()]
+            known.clear()
+            for at in range(0, len(rows), 10_000):
+                cols = zip(*rows[at : at + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "labels", "least", "most"])
+
+        held = 0
+        for b in batches:
+            for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                counts = known.setdefault(host, {})
+                held -= len(counts)
+                read_page(html.as_py(), counts=counts)
+                held += len(counts)
+                if held > _PLACES:
+                    yield from out()
+                    held = 0
+        yield from out()
+
+    rows = pages.mapInArrow(partial, "host string, labels string, least long, most long")
+    counts = rows.groupBy("host", "labels").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return counts.where("least = most and least > 1").groupBy("host").agg(F.collect_list("labels").alias("ordered"))
+
+
+class _Ordered:
+    """The labels of a host as a set, made once for the hosts seen last."""
+
+    def __init__(self, most: int = 2000):
+        self.known: dict[str, frozenset[str]] = {}
+        self.most = most
+
+    def __call__(self, host: str, labels: pa.Scalar) -> frozenset[str]:
+        if host not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[host] = frozenset(labels.as_py() or ())
+        return self.known[host]
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, place, chars, slot, constant, differ) of a table (host, html): the whole wrappers, one row per place.
+    """(host, place, chars, slot, constant, differ) of a table (host, html, ordered): the whole wrappers, one row per place.
 
     ``slot`` tells that the text differs, ``constant`` is the hash of one that does not, ``differ`` counts pages, up to _DIFFER.
     """
@@ -305,12 +381,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             for at in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), fields.values(), strict=True)], list(fields))
 
-        held = 0
+        held, ordered = 0, _Ordered()
         for b in batches:
-            for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for host, html, labels in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 wrapper = known.setdefault(host, Wrapper())
                 held -= len(wrapper.places)
-                wrapper.align(*read_page(html.as_py()))
+                wrapper.align(*read_page(html.as_py(), ordered(host, labels)))
                 held += len(wrapper.places)
                 if held > _PLACES:
                     yield from out()
@@ -360,22 +436,25 @@ def extract_text(pages: DataFrame) -> DataFrame:
         page_host(F.col("url").cast("string")).alias("host"),
         text_or_empty("html").alias("html"),
     )
-    wrappers = materialize(infer_wrappers(rows.select("host", "html")), "wrappers")
-    decided = materialize(host_decisions(wrappers), "wrapper-decisions")
+    ordered = materialize(ordered_labels(rows.select("host", "html")), "wrapper-order")  # a table, so that the join can split a hot host
+    wrappers = materialize(infer_wrappers(rows.join(ordered, "host", "left").select("host", "html", "ordered")), "wrappers")
+    decided = host_decisions(wrappers).join(ordered, "host", "left")
+    decided = materialize(decided, "wrapper-decisions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
+        ordered = _Ordered()
         for b in batches:
             out = []
-            for host, html, main, same in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5), strict=True):
+            for host, html, main, same, labels in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5), b.column(6), strict=True):
                 if host not in known:
                     if len(known) > 2000:
                         known.clear()
                     rows = [(x["place"], x["constant"] % (1 << 64), x["inside"]) for x in same.as_py() or ()]
                     known[host] = main.as_py(), {p: h for p, h, _ in rows}, {p: h for p, h, inside in rows if inside}
-                out.append(main_text(html.as_py(), known[host]))
+                out.append(main_text(html.as_py(), known[host], ordered(host, labels)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    judged = rows.join(decided, "host").select("page_id", "url", "host", "html", "main", "same")
+    judged = rows.join(decided, "host").select("page_id", "url", "host", "html", "main", "same", "ordered")
     texts = judged.mapInArrow(run, "page_id long, url string, text string")
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -340,3 +340,72 @@ def test_url_filter_deep_path(spark):
     urls += ["https://q.org/x/a/b/c/d/e/f/g/h/shop", "https://q.org/x/a/b/c/d/e/f/g/h/news"]
     got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), min_support=0.3).collect()}
     assert got[40].verdict == "block" and "path9:shop" in got[40].mined and got[41].verdict == "allow"
+
+
+def test_html_wrapper_alone_decides(spark):
+    """No article, no class: what varies at its place is text, what does not is the template, told apart by the order of the elements."""
+    pages = [f"<body><div><p>Home Products Contact</p></div><div><p>text {i} of this page alone</p>{'<p>more of it ' + str(i) + '</p>' * (i % 3)}</div><div><p>Imprint</p></div></body>" for i in range(30)]
+    rows = [(i, "http://h/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got[0] == "text 0 of this page alone\n\nmore of it 0" and not any("Home" in t or "Imprint" in t for t in got.values())
+    assert "Home" in html_text.main_text(pages[0], ("", {}, {}))  # without the wrapper
+
+
+def test_html_against_naive_aligner(spark):
+    """Pages of plain nested elements, aligned by plain Python: order where the numbers agree, groups where they do not, constants by place."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    r = np.random.default_rng(8)
+    pages = []
+    for i in range(40):
+        items = "".join(f"<li>item {r.integers(1000)} of {i}</li>" for _ in range(r.integers(1, 5)))
+        pages.append(f"<body><div><p>Top line</p><p>Slogan</p></div><div><div><h2>head {i}</h2><ul>{items}</ul></div><div><p>words {r.integers(10**6)} here</p></div></div><div><p>Bottom</p><p>{'even' if i % 2 else 'odd'} page</p></div></body>")
+    trees = [ET.fromstring(p) for p in pages]
+    counts = {}
+
+    def count(e, labels):
+        for tag in {k.tag for k in e}:
+            counts.setdefault(f"{labels}/{tag}", set()).add(sum(k.tag == tag for k in e))
+        for k in e:
+            count(k, f"{labels}/{k.tag}")
+
+    def texts(e, labels, place):
+        out = [(place, e.text)] if e.text else []
+        seen = Counter()
+        for k in e:
+            seen[k.tag] += 1
+            own = f"{labels}/{k.tag}"
+            out += texts(k, own, (*place, k.tag, seen[k.tag] if len(counts[own]) == 1 and max(counts[own]) > 1 else 0))
+        return out
+
+    for t in trees:
+        count(t, "/body")
+    per = [texts(t, "/body", ()) for t in trees]
+    by = {}
+    for p in per:
+        for place, text in p:
+            by.setdefault(place, set()).add(text)
+    want = ["\n\n".join(t for place, t in p if len(by[place]) > 1) for p in per]
+    rows = [(i, "http://h/", p) for i, p in enumerate(pages)]
+    got = {x.page_id: x.text for x in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    main = [re.sub(r"\n\n(even|odd) page$", "", w) for w in want]  # outside the place of most of the varying text
+    assert [got[i] for i in range(40)] == main
+
+
+def test_html_inline_classes_and_forms():
+    page = '<body><form><div class=menu>m</div><article><p>Big <span class="related">linked</span> text about <em class="share">market share</em></p></article></form></body>'
+    assert html_text.main_text(page, ("", {}, {})) == "Big linked text about market share"
+    deep = "<div>" * 60 + "<p>one</p>" + "</div>" * 20 + "<p>two</p>" + "</div>" * 40
+    assert html_text.main_text(deep, ("", {}, {})) == "one\n\ntwo"
+    blocks, _ = html_text.read_page(deep)
+    assert blocks[0].place != blocks[1].place
+
+
+def test_html_odd_rows(spark):
+    long_ = "<article>" + "".join(f"<p>paragraph {i} of many</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://h/", long_), (2, "http://h/", None), (None, None, "<p>x"), (2, "http://h/", ""), (3, "http://h/", "<article><p>a</article>"), (3, "http://h/", "<article><p>a</article>")]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "page_id long, url string, html string, host string, text string, ordered string")
+    got = html_text.extract_text(df).collect()
+    assert len(got) == 6 and max(r.n_chars for r in got) == sum(len(f"paragraph {i} of many") for i in range(20_000)) + 2 * 19_999
+    assert sorted((r.page_id or 0, r.text) for r in got if r.page_id != 1) == [(0, "x"), (2, ""), (2, ""), (3, "a"), (3, "a")]
