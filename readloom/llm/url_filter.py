@@ -53,10 +53,14 @@ def list_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: labels of the host by kind of place, words of it, path segments by place with digits folded."""
+    """Distinct tokens: labels of the host by kind of place, the words of labels that have several, path segments by place with digits folded.
+
+    No token repeats what another one says, as that would square the frequent sets and tell nothing.
+    """
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     ends = F.transform(labels, lambda x, i: F.concat(F.when(i == F.size(labels) - 1, F.lit("tld:")).otherwise(F.lit("host:")), x))
-    words = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "[-_]"))), lambda x: x != "")
+    several = F.filter(labels, lambda x: x.rlike("[-_]"))
+    words = F.filter(F.flatten(F.transform(several, lambda x: F.split(x, "[-_]"))), lambda x: x != "")
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     place = F.transform(parts, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
     return F.array_distinct(F.concat(ends, F.transform(words, lambda x: F.concat(F.lit("word:"), x)), place))

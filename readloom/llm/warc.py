@@ -1,8 +1,8 @@
 """WARC archives of pages, one Zstandard frame per record, with a dictionary built from the records themselves.
 
 A file begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary; each record is then a frame of its own,
-so any record can be read with the dictionary and its offset alone. The dictionary is built from the first ``SAMPLE_BYTES``
-of records of the file (a bounded sample; files with too few records for one have an empty dictionary frame).
+so any record can be read with the dictionary and its offset alone. The dictionary is trained on records spread over the whole
+file (about ``SAMPLE_BYTES`` of them, a bounded sample); where they are too few or too uniform to train on, their own bytes are the dictionary.
 
 Of the records with equal payloads of at least ``least`` bytes the one with the largest page_id is written as response;
 the others are revisit records without payload that name it (WARC-Refers-To) and carry its digest and length. Equality
@@ -90,20 +90,19 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
+def build_dictionary(records: list[bytes]) -> bytes:
+    """At most an eighth of the records' size: trained on records spread over all of them, else the bytes of these."""
+    size = sum(map(len, records))
+    sample, most = records[:: max(1, -(-size // SAMPLE_BYTES))], min(DICT_BYTES, size // 8)
+    try:
+        return zstandard.train_dictionary(most, sample).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(sample)[:most]
+
+
 def pack_archive(records: list[bytes]) -> bytes:
     """The bytes of a file: the dictionary in a skippable frame, then a frame for each record."""
-    sample, size = [], 0
-    for r in records:
-        sample.append(r)
-        size += len(r)
-        if size >= SAMPLE_BYTES:
-            break
-    raw = b""
-    if len(sample) >= 16 and size >= 64 << 10:
-        try:
-            raw = zstandard.train_dictionary(min(DICT_BYTES, size // 8), sample).as_bytes()
-        except zstandard.ZstdError:  # too uniform for one
-            raw = b""
+    raw = build_dictionary(records)
     known = {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
     press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **known)
     return b"".join([struct.pack("<II", SKIPPABLE, len(raw)), raw, *map(press.compress, records)])

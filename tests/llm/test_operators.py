@@ -409,3 +409,94 @@ def test_html_odd_rows(spark):
     got = html_text.extract_text(df).collect()
     assert len(got) == 6 and max(r.n_chars for r in got) == sum(len(f"paragraph {i} of many") for i in range(20_000)) + 2 * 19_999
     assert sorted((r.page_id or 0, r.text) for r in got if r.page_id != 1) == [(0, "x"), (2, ""), (2, ""), (3, "a"), (3, "a")]
+
+
+def test_url_rules_against_naive_miner(spark):
+    """All frequent sets, rules, prunings and verdicts by plain Python over the tokens of each different URL."""
+    from itertools import combinations
+
+    r = np.random.default_rng(11)
+    urls = []
+    for _ in range(160):
+        host = f"{r.choice(['www', 'cdn', 'my-shop'])}.site{r.integers(3)}.{r.choice(['net', 'com', 'org'])}"
+        urls.append(f"https://{host}/{r.choice(['es', 'fr', 'en', 'x'])}/{r.choice(['news', 'shop', 'item7', 'item8'])}")
+    urls += urls[:20] + ["nonsense", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.judge_urls(df, min_support=0.08, min_confidence=0.6).collect()}
+    parts = {x.page_id: (x.host, x.path) for x in got.values()}
+
+    def tokens(host, path):
+        labels = [x for x in host.split(".") if x]
+        out = {("tld:" if i == len(labels) - 1 else "host:") + x for i, x in enumerate(labels)}
+        out |= {f"word:{w}" for x in labels if "-" in x for w in x.split("-")}
+        return frozenset(out | {f"path{i}:" + "".join(np.array(list(x))) .replace("7", "0").replace("8", "0") for i, x in enumerate(y for y in path.split("/") if y)})
+
+    def listed(host, path):
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    kinds = {k: (tokens(*k), listed(*k)) for k in set(parts.values())}
+    labelled = [(t, v) for t, v in kinds.values() if v and t]
+    total, rules = len(labelled), {}
+    for t in {frozenset(c) for t, _ in labelled for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}:
+        holds = [v for u, v in labelled if t <= u]
+        for v in set(holds):
+            if holds.count(v) / total >= 0.08 and holds.count(v) / len(holds) >= 0.6:
+                rules[t, v] = (round(holds.count(v) / len(holds), 9), round(holds.count(v) / total, 9))
+    kept = {k: c for k, c in rules.items() if not any((k[0] - {x}, k[1]) in rules and rules[k[0] - {x}, k[1]][0] >= c[0] for x in k[0] if len(k[0]) > 1)}
+    for i, k in parts.items():
+        t, v = kinds[k]
+        if v is None:
+            fits = [(*c, len(s), sorted(s), w) for (s, w), c in kept.items() if s <= t]
+            v = max(fits)[-1] if fits else "allow"
+            assert (got[i].mined is None) == (not fits)
+        assert got[i].verdict == v, (k, got[i], v)
+
+
+def test_warc_against_naive(spark):
+    """Record types by plain Python: nulls, repeated ids, ties, payloads below the least size."""
+    r = np.random.default_rng(12)
+    rows = [(None if r.random() < 0.1 else int(r.integers(40)), "http://h/", str(r.choice(["a", "bb", "c" * 3000, "", "dddd"])) if r.random() < 0.9 else None) for _ in range(120)]
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], "page_id long, url string, html string, key string, first_id long")
+    for least in (0, 3):
+        want = Counter()
+        for page_id, _, html in rows:
+            data = (html or "").encode()
+            first = max((p for p, _, h in rows if (h or "").encode() == data and p is not None), default=None) if len(data) >= least else None
+            of = first if first is not None and page_id != first else None
+            want[page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if of is None else "revisit", of] += 1
+        got = warc.archive_round_trip(df.repartition(3), least).collect()
+        assert Counter((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got) == want
+
+
+def test_warc_dictionary_of_few_records():
+    few = [warc.make_record(i, "u", b"<html>the same words again and again</html>" * 9, None, "D", "2024-01-01T00:00:00Z") for i in range(10)]
+    data = warc.pack_archive(few)
+    assert 0 < int.from_bytes(data[4:8], "little") <= sum(map(len, few)) // 8 and list(warc.unpack_archive(data)) == few
+    assert list(warc.unpack_archive(warc.pack_archive([b"x"]))) == [b"x"]
+
+
+def test_token_ids_that_do_not_fit():
+    with pytest.raises(ValueError, match="65536"):
+        tokens.pack_file([1], [2], np.array([70_000, 2], np.uint32))
+
+
+def test_token_pieces_in_any_batches():
+    """Random texts of letters, marks, spaces and contractions, cut by the table of pieces, against the library."""
+    r = np.random.default_rng(13)
+    encode = tokens.Encoder(tokenizer_path(), keep=300)
+    texts = ["".join(r.choice(list(" \n'abstmdrevl1.,éß¿"), r.integers(0, 40))) for _ in range(3000)] + ["", "a" * 50, "日本 x", "a\tb", "x<|endoftext|>y"]
+    want = [e.ids for e in encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 170):
+        ids, counts = encode([t.encode() for t in texts[at : at + 170]])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[at : at + 170]
+
+
+def test_range_coder_block_alone():
+    r = np.random.default_rng(14)
+    blocks = [(r.zipf(1.2, n) % 50_000).astype(np.uint16) for n in (2048, 2048, 300, 65, 64, 1)]
+    codes = rangecoder.encode_blocks(blocks)
+    for b, c in zip(blocks, codes, strict=True):
+        assert (rangecoder.decode_blocks([c], [len(b)])[0] == b).all()
+    with pytest.raises(ValueError):
+        rangecoder.encode_blocks([np.zeros(rangecoder.LONGEST + 1, np.uint16)])
