@@ -2,7 +2,8 @@
 
 1. Each text becomes a 64-bit fingerprint of its word shingles (one pass over the texts).
 2. Equal fingerprints are merged first, so copies cost nothing further.
-3. A vantage-point tree over a bounded sample of distinct fingerprints deals all of them into shards. At a node with
+3. A vantage-point tree over a bounded sample of distinct fingerprints deals all of them into shards; shards that come out too large
+   are sampled and dealt again, each by a tree of its own, until none is or can be cut. At a node with
    vantage v and radius m a fingerprint x goes inside if d(x, v) <= m and outside otherwise; if it lies outside within
    m + r it also goes inside. By the triangle inequality two fingerprints within r meet in one child at every node
    (both inside, both outside, or the outer one overlaps the boundary), hence in one shard, and no branch needs
@@ -19,6 +20,7 @@ table gives an empty result. Memory: a task holds one batch of texts, or one sha
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from readloom.llm.similar import similar_groups, small
 SEED = 42
 SAMPLE = 1 << 15
 SHARD = 1 << 14
-MAX_SHARDS = 1 << 12
+MAX_SHARDS = 1 << 12  # of one tree
 LEAF = 512
 BLOCK = 1 << 15
 
@@ -77,7 +79,7 @@ class VantageTree:
         self.radius: list[int] = []
         self.kids: list[list[int]] = []
         self.reach, self.leaves = reach, 0
-        # Leaves of a breadth-first build are split largest first until there are enough.
+        # Built breadth first, until there are enough leaves.
         self.root = self._grow(points, leaf, most)
 
     def _grow(self, points: np.ndarray, leaf: int, most: int) -> int:
@@ -165,31 +167,62 @@ def shard_stars(points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(roots), np.concatenate(others)
 
 
-def link_fingerprints(fps: DataFrame, reach: int = 3) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of the distinct column fp within ``reach`` bits."""
-    n = fps.count()
-    # About SAMPLE of them, by a hash, whatever the number of partitions.
-    drawn = fps.where(F.pmod(F.xxhash64("fp", F.lit("vantage")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(n, 1))))
-    sample = np.sort(drawn.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
-    shards = min(MAX_SHARDS, max(1, n // SHARD))
-    tree = VantageTree(sample, max(LEAF, len(sample) // shards), shards, reach)
+def _deal_again(dealt: DataFrame, reach: int, level: int) -> DataFrame | None:
+    """The shards of more than four times SHARD points dealt by trees of their own, the others as they are; None if no shard is too large.
+
+    ``dealt`` has shard, fp and whole: that the shard could not be cut, as a ball of near copies.
+    """
+    big = dealt.where("not whole").groupBy("shard").agg(F.count("*").alias("points")).where(F.col("points") > 4 * SHARD)
+    big = materialize(big, "simhash-large")
+    n = big.count()
+    if not n:
+        return None
+    sent = F.broadcast(big) if n <= 1 << 16 else big
+    # About SAMPLE points of each, by a hash, whatever the number of partitions.
+    threshold = F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("points"))
+    drawn = dealt.join(sent, "shard").where(F.pmod(F.xxhash64("fp", F.lit(f"vantage{level}")), F.lit(1 << 40)) < threshold)
+
+    def grow(shard: pa.Table) -> pa.Table:
+        points = np.sort(shard.column("fp").to_numpy().view(np.uint64))
+        shards = min(MAX_SHARDS, max(2, shard.column("points")[0].as_py() // SHARD))
+        tree = VantageTree(points, max(LEAF, len(points) // shards), shards, reach)
+        return pa.table({"shard": shard.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, VantageTree] = {}
         for b in batches:
-            points = b.column(0).to_numpy().view(np.uint64)
-            for leaf, rows in tree.route(points):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), leaf, np.int32)), pa.array(points[rows].view(np.int64))],
-                    ["shard", "fp"],
-                )
+            shards, points = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for k in np.unique(shards).tolist():
+                at = np.nonzero(shards == k)[0]
+                if k not in trees:
+                    if len(trees) > 64:
+                        trees.clear()
+                    trees[k] = pickle.loads(b.column(2)[int(at[0])].as_py())
+                cut = trees[k].leaves > 1
+                for leaf, rows in trees[k].route(points[at]):
+                    cols = [np.full(len(rows), (k * MAX_SHARDS + leaf + 1) if cut else k), points[at[rows]].view(np.int64), np.full(len(rows), not cut)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "fp", "whole"])
+
+    trees = materialize(drawn.select("shard", "fp", "points").groupBy("shard").applyInArrow(grow, "shard long, tree binary"), "simhash-trees")
+    sent_trees = F.broadcast(trees) if n <= 64 else trees  # of some 10 kB each
+    again = dealt.join(sent, "shard", "left_semi").select("shard", "fp").join(sent_trees, "shard").select("shard", "fp", "tree")
+    rest = dealt.join(sent, "shard", "left_anti")
+    return materialize(again.mapInArrow(route, "shard long, fp long, whole boolean").unionByName(rest), "simhash-dealt")
+
+
+def link_fingerprints(fps: DataFrame, reach: int = 3) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of the distinct column fp within ``reach`` bits."""
 
     def search(shard: pa.Table) -> pa.Table:
         points = shard.column("fp").to_numpy().view(np.uint64)
         a, b = shard_stars(points, reach)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = fps.select("fp").mapInArrow(route, "shard int, fp long").repartition(shards, "shard")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt, level = fps.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(False).alias("whole")), 0
+    while level < 5 and (again := _deal_again(dealt, reach, level)) is not None:  # 4,096 shards at each level fit into a long
+        dealt, level = again, level + 1
+    shards = max(1, dealt.select("shard").distinct().count())
+    return dealt.select("shard", "fp").repartition(min(shards, 100_000), "shard").groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(

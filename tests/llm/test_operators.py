@@ -80,6 +80,28 @@ def test_simhash_components(spark, monkeypatch):
     assert {p: got.get(p, p) for p in points} == brute_roots(points)
 
 
+def test_simhash_shards_are_dealt_again(spark, monkeypatch):
+    """A sample too small for one tree to make shards of the wanted size: they are dealt again until they are, and no link is lost."""
+    monkeypatch.setattr(simhash, "SHARD", 10)
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    monkeypatch.setattr(simhash, "SAMPLE", 40)
+    monkeypatch.setattr(simhash, "MAX_SHARDS", 4)
+    levels = []
+    deal = simhash._deal_again
+    monkeypatch.setattr(simhash, "_deal_again", lambda d, r, k: levels.append(k) or deal(d, r, k))
+    r = np.random.default_rng(5)
+    points = {int(x) for x in r.integers(0, 2**63, 300)}
+    for p in list(points)[:80]:
+        points |= {p ^ (1 << int(r.integers(62))) ^ (1 << int(r.integers(62))), p ^ 7 << int(r.integers(60))}
+    points |= {5 ^ (1 << int(r.integers(62))) ^ (1 << int(r.integers(62))) for _ in range(120)}  # a ball that cannot be cut
+    points = sorted(p & (1 << 63) - 1 for p in points)
+    from readloom.llm.components import connected_components
+
+    fps = spark.createDataFrame([(p,) for p in points], "fp long")
+    got = {x.node: x.root for x in connected_components(simhash.link_fingerprints(fps)).collect()}
+    assert {p: got.get(p, p) for p in points} == brute_roots(points) and max(levels) >= 2
+
+
 def test_simhash_odd(odd):
     rows = simhash.near_duplicates(odd).collect()
     by = {r.doc_id: r.component_id for r in rows}
