@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -108,6 +111,23 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return own.join(sent, _FILE).withColumn(ROW, F.col(ROW) + F.col(_PLACE)).drop(_FILE, _PLACE)
 
 
+def portions(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch a few at a time, so that what is made of them, here and in the JVM, stays small."""
+    return (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is run within; for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 

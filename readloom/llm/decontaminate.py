@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import text_or_empty
+from readloom.llm.common import portions, text_or_empty
 
 WIDTH = 5
 _APART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -182,7 +182,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8,
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known, hasher = sent.value, Hasher(width)
             for b in batches:
-                yield b.filter(pa.array([not known.find(words_of(t.as_py()), hasher) for t in b.column(at)], pa.bool_()))
+                for part in portions(b):
+                    yield part.filter(pa.array([not known.find(words_of(t.as_py()), hasher) for t in part.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import text_or_empty
+from readloom.llm.common import portions, text_or_empty
 
 BITS = 18
 GRAMS = (3, 4, 5)
-CACHE = 400_000
+CACHE = 200_000
 AGAIN = " again "  # no word has a blank
 
 
@@ -181,7 +181,8 @@ def quality_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(scorer, b.column(1)))], ["doc_id", "score"])
+            scores = [np.empty(0), *(_scores(scorer, part.column(1)) for part in portions(b))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
@@ -195,6 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for b in batches:
-            yield b.filter(pa.array(_scores(scorer, b.column(at)) >= cut, pa.bool_()))
+            for part in portions(b):
+                yield part.filter(pa.array(_scores(scorer, part.column(at)) >= cut, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
