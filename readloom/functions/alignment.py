@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.functions import edits as E
+
 CELLS = 1 << 25  # of the trace that is held at once
 _NONE = -(1 << 28)
 ALIGNED = "score int, begin int, stop int, cigar string"
@@ -238,3 +240,11 @@ def script_fits(key: Column, text: Column, cigar: Column) -> Column:
         return pd.Series(out)
 
     return run(key, text, cigar)
+
+
+def chained(key: Column, text: Column, left: int, right: int) -> Column:
+    """The script (array of op and len) of a key whose first ``left`` and last ``right`` bases are known to match the ends of the text: what lies between is aligned globally."""
+    inner = lambda t: F.substring(t, F.lit(left + 1), F.length(t) - left - right)
+    gap = E.parse_cigar(affine(inner(key), inner(text), "global")["cigar"])
+    anchor = lambda n: F.array(F.struct(F.lit("M").alias("op"), F.lit(n).alias("len")))
+    return E.merged(F.concat(anchor(left), gap, anchor(right)))

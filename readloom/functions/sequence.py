@@ -95,6 +95,24 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.aggregate(pairs, F.lit(0), lambda s, x: s + x))
 
 
+_WORD_BASES = 31
+
+
+def packed(s: Column, length: int) -> list[Column]:
+    """Two bits a base, as many bigints as ``length`` bases need; for sequences of A, C, G and T alone."""
+    parts = range(0, length, _WORD_BASES)
+    return [F.conv(F.translate(F.substring(s, at + 1, min(_WORD_BASES, length - at)), "ACGT", "0123"), 4, 10).cast("bigint") for at in parts]
+
+
+def packed_hamming(a: list[Column], b: list[Column]) -> Column:
+    """Mismatches of two packed sequences: pairs of bits that differ."""
+    out = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        z = x.bitwiseXOR(y)
+        out = out + F.bit_count(z.bitwiseOR(F.shiftright(z, 1)).bitwiseAND(F.lit(0x1555555555555555)))
+    return out.cast("int")
+
+
 def read_tag(raw: Column) -> dict[str, Column]:
     """Tag, mate (0, 1, 2, 3), CASAVA field and the rest of a record's name line."""
     first = F.regexp_extract(raw, r"^(\S+)", 1)

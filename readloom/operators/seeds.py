@@ -50,7 +50,10 @@ def hamming_matches(reads: DataFrame, ref: DataFrame, errors: int, length: int)
         found = hits if found is None else found.unionByName(hits)
     windows = found.select("tag", "read", "seq_name", (F.col("offset") - F.col("at")).alias("offset")).where("offset >= 0").distinct()
     texts = windows.join(ref, "seq_name").withColumn("window", F.substring("text", F.col("offset") + 1, F.lit(length)))
-    return texts.withColumn("distance", S.hamming(F.col("read"), F.col("window"))).where(F.col("distance") <= errors).select("tag", "seq_name", "offset", "distance")
+    plain = ~F.concat("read", "window").rlike("[^ACGT]") & (F.length("window") == length)
+    exact = S.packed_hamming(S.packed(F.col("read"), length), S.packed(F.col("window"), length))
+    distance = F.when(plain, exact).otherwise(S.hamming(F.col("read"), F.col("window")))
+    return texts.withColumn("distance", distance).where(F.col("distance") <= errors).select("tag", "seq_name", "offset", "distance")
 
 
 def region_profile(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:

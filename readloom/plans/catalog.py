@@ -342,8 +342,9 @@ def map_round_trip(s, d):
 def sam_round_trip(s, d):
     m = ranking.ranked(V.maps(s, d))
     alt = F.concat_ws(",", "seq_name", F.concat("strand", F.col("position").cast("string")), F.lit("4M"), F.col("event_distance").cast("string"))
-    xa = m.where("rank > 1").groupBy("tag").agg(F.array_join(F.sort_array(F.collect_list(alt)), ";").alias("xa"))
-    best = m.where("rank = 1").join(xa, "tag", "left")
+    own = F.struct(*[F.col(c) for c in ("strand", "seq_name", "position", "phred", "length")])
+    xa = F.array_join(F.sort_array(F.collect_list(F.when(F.col("rank") > 1, alt))), ";")
+    best = m.groupBy("tag").agg(F.min_by(own, "rank").alias("best"), F.when(F.count("*") > 1, xa).alias("xa")).select("tag", "best.*", "xa")
     line = R.sam_line(
         qname=F.col("tag"), flag=F.when(F.col("strand") == "-", 16).otherwise(0), rname=F.col("seq_name"), pos=F.col("position"), mapq=F.col("phred"),
         cigar=F.concat(F.col("length").cast("string"), F.lit("M2I3D")), rnext=F.lit("*"), pnext=F.lit(0), tlen=F.lit(0), seq=F.lit("*"), qual=F.lit("*"),

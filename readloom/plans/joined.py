@@ -262,6 +262,11 @@ def by_name(s, d):
     return out
 
 
+@query("JON_23_strict_comparator", "SELECT tag, count(*) AS met FROM maps a WHERE EXISTS (SELECT 1 FROM maps_b b WHERE a.tag = b.tag AND a.seq_name = b.seq_name AND a.strand = b.strand AND a.position = b.position AND a.length = b.length) GROUP BY tag", "maps", "maps_b")
+def strict_comparator(s, d):
+    return setops.intersection(V.maps(s, d), V.maps_b(s, d), setops.strict).groupBy("tag").agg(F.count("*").alias("met"))
+
+
 @query("UDF_1_injected_comparator", f"SELECT {MAP} FROM maps_b a WHERE EXISTS (SELECT 1 FROM maps b WHERE a.tag = b.tag AND a.seq_name = b.seq_name AND abs(a.event_distance - b.event_distance) <= 1 AND a.phred = b.phred)", "maps", "maps_b")
 def injected(s, d):
     def near(a, b):

@@ -216,3 +216,16 @@ def local_of_unmapped(s, d):
 def orders(s, d):
     n = lambda *k: F.row_number().over(W.partitionBy("tag").orderBy(*k))
     return V.maps(s, d).select("tag", "seq_name", "position", "length", "score", "phred", n("event_distance", F.desc("score"), "position", "length", "phred").alias("by_distance"), n("seq_name", "position", "length", "score", "phred").alias("by_place"), n(F.desc("phred"), "score", "position", "length").alias("by_phred"), n("score", "phred", "position", "length").alias("by_score"))
+
+
+@query("MTH_21_chained_alignment", GAPPED + "SELECT tag, max(length(read) - (6 + 32 - length(read)) - 5 * (hamming(substr(read, 1, o), substr(w, 1, o)) + hamming(substr(read, o + 1), right(w, length(read) - o))))::INT AS score, any_value(length(read))::INT AS read_length FROM c WHERE o BETWEEN 10 AND length(read) - 10 GROUP BY tag", "planted")
+def chained(s, d):
+    """The ends of a read are anchored; only what lies between is aligned, and its script stands between those of the anchors."""
+    r = against_reference(s, d).withColumn("w", F.substring("text", (F.col("tag") * 7 % 90 + 1).cast("int"), F.lit(32)))
+    r = r.withColumn("key", F.concat(F.substring("w", 1, 14), F.substring("w", (16 + F.col("tag") % 3).cast("int"), F.lit(32))))
+    x = r.select("tag", A.chained(F.col("key"), F.col("w"), 10, 10).alias("x"))
+    return x.select("tag", E.affine_score(F.col("x")).alias("score"), E.read_length(F.col("x")).alias("read_length"))
+
+
+simple("SRC_15_cigar_parser", V.maps, lambda m: m.select("tag", "position", "length", "phred", "score", E.parse_cigar(F.concat(F.col("position").cast("string"), F.lit("M2I"), F.col("length").cast("string"), F.lit("=1X3D5S"))).alias("x")).select("tag", "position", "length", "phred", "score", F.size("x").alias("n"), F.get("x", F.lit(2))["len"].alias("third"), F.get("x", F.lit(5))["op"].alias("last")),
+       "SELECT tag, position, length, phred, score, 6 AS n, length::INT AS third, 'S' AS last FROM maps", "maps")
