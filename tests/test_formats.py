@@ -39,3 +39,31 @@ def test_streaming_template_size(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("SELECT * FROM sizes").orderBy("begin").collect()
     assert got == windowed_template_size(rows).orderBy("begin").collect() and len(got) == 3
+
+
+def test_fastq_across_splits(spark, tmp_path):
+    """Quality lines that begin with @ and look like names, in splits of some dozen bytes."""
+    from readloom.sources import records as R
+
+    rows = [(f"r{i}/1", "ACGT" * (i % 5 + 1), ("@r" + "+" * 30)[: 4 * (i % 5 + 1)]) for i in range(300)]
+    (tmp_path / "a.fastq").write_text("".join(f"@{n}\n{r}\n+\n{q}\n" for n, r, q in rows))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "700")
+    try:
+        got = R.read_fastq(spark, str(tmp_path / "a.fastq"))
+        assert got.rdd.getNumPartitions() >= 1 and sorted((f"{x.tag}/{x.pair}", x.read, x.qualities) for x in got.collect()) == sorted(rows)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_counters_of_many_strata(spark):
+    from pyspark.sql import functions as F
+
+    from readloom.sources import records as R
+
+    df = spark.createDataFrame([([1] * 1500,)], "c array<long>")
+    text = df.select(R.render_counters(F.col("c"), 2).alias("t")).first().t
+    assert text == "1:1+" + ":".join(["1"] * 1498)
+    back = df.select(*[c.alias(n) for n, c in R.parse_counters(F.lit(text)).items()]).first()
+    assert (len(back.counters), back.mcs) == (1500, 2)
