@@ -94,9 +94,13 @@ def mapping_report(maps: DataFrame) -> DataFrame:
 def report(templates: DataFrame, maps: DataFrame) -> DataFrame:
     """(section, name, value) of the general, map and population sections."""
     per = maps.groupBy("tag").agg(F.count("*").alias("n")).agg(F.count("*").alias("mapped"), F.sum("n").alias("all"), F.round(F.avg("n"), 6).alias("mean"))
-    one = templates.agg(F.count("*").alias("reads")).join(per).join(maps.agg(F.count_distinct("seq_name").alias("sequences")))  # one row each
-    items = (("general", "reads"), ("general", "mapped"), ("maps", "all"), ("maps", "mean"), ("population", "sequences"))
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("name"), F.col(b).cast("double").alias("value")) for a, b in items])))
+
+    def items(df: DataFrame, *names: tuple[str, str]) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("name"), F.col(b).cast("double").alias("value")) for a, b in names])))
+
+    out = items(templates.agg(F.count("*").alias("reads")), ("general", "reads"))
+    out = out.unionByName(items(per, ("general", "mapped"), ("maps", "all"), ("maps", "mean")))
+    return out.unionByName(items(maps.agg(F.count_distinct("seq_name").alias("sequences")), ("population", "sequences")))
 
 
 def failure_class(best: DataFrame) -> DataFrame:

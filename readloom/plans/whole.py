@@ -291,8 +291,8 @@ def pair_states(s, d):
     """The second end lies 28 bases on, on the other strand; or on another sequence; or nowhere."""
     at = (F.col("tag") * 7 % 90).cast("int")
     r = against_reference(s, d).where((at + 60 <= 128) & (F.col("tag") > 1))
-    other = V.ref(s, d).where("seq_name = 'p1'").select(F.substring("text", 40, 32).alias("far"))
+    other = V.ref(s, d).where("seq_name = 'p1'").select(F.col("seq_name").alias("one"), F.substring("text", 40, 32).alias("far"))
     mate = F.when(F.col("tag") % 4 == 0, F.repeat(F.lit("N"), 32)).when(F.col("tag") % 4 == 1, F.col("far")).otherwise(Q.reverse_complement(F.substring("text", at + 29, F.lit(32))))
-    ends = r.crossJoin(F.broadcast(other)).select("tag", "read", mate.alias("mate"))  # one row is broadcast
+    ends = r.withColumn("one", F.concat(F.lit("p"), (F.col("tag") % 1 + 1).cast("string"))).join(other, "one").select("tag", "read", mate.alias("mate"))
     found = mapper.map_pairs(ends.select("tag", "read"), ends.select("tag", F.col("mate").alias("read")), V.ref(s, d), 32, mapper.Search(mode="complete", max_error=2), (33, 100))
     return found.select("tag", "kind", "distance")
