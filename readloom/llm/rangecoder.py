@@ -28,6 +28,7 @@ _ONE = 1 << 16
 _CONTEXTS = 8  # bits of a context's hash
 _MOST = np.array([[55_000], [18_000]], np.int32)  # of 2^16 for order 2, and of what it leaves in 2^15 for order 1
 _LEAST, _RATE = 64, 5
+_RANKED = 256  # blocks that are ranked at once
 _FIRST, _LEAST_NEW, _MOST_NEW = 64, 16, 900
 
 
@@ -97,14 +98,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for i, b in enumerate(blocks):
         by_lane[i, : len(b)] = b
     # The place of each id among the distinct ids of its block; those of the blocks follow one another.
-    order = np.argsort(by_lane, axis=1, kind="stable")
-    rank = np.cumsum(_distinct(np.take_along_axis(by_lane, order, 1)), axis=1, dtype=np.int32) - 1
-    kinds = int(rank[:, -1].max()) + 1 if steps else 1
-    place = np.empty((lanes, steps), np.int32)
-    np.put_along_axis(place, order, rank + np.arange(lanes, dtype=np.int32)[:, None] * kinds, 1)
-    place = np.ascontiguousarray(place.T)
+    place, kinds = np.empty((steps, lanes), np.int32), 1
+    for i in range(0, lanes, _RANKED):
+        part = by_lane[i : i + _RANKED]
+        order = np.argsort(part, axis=1, kind="stable")
+        rank = np.cumsum(_distinct(np.take_along_axis(part, order, 1)), axis=1, dtype=np.int32) - 1
+        kinds = max(kinds, int(rank[:, -1].max()) + 1 if steps else 1)
+        own = np.empty_like(rank)
+        np.put_along_axis(own, order, rank, 1)
+        place[:, i : i + _RANKED] = own.T
+    place += np.arange(lanes, dtype=np.int32) * kinds
     ids = np.ascontiguousarray(by_lane.T).astype(np.int32)
-    del order, rank, by_lane
+    del order, rank, own, part, by_lane
     counts = np.zeros(lanes * kinds, np.int32)
     new = np.zeros(lanes, np.int64)
     known, lane = _Contexts(lanes), np.arange(lanes)

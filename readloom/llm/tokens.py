@@ -35,7 +35,7 @@ from readloom.llm.rangecoder import LONGEST, decode_blocks, encode_blocks
 
 MAGIC = b"RLT1"
 #: Ids of a block, less in small files: so many that there are WIDE blocks to code side by side. Blocks coded at once.
-BLOCK, SHORTEST, WIDE, LANES = LONGEST, 256, 1024, 4096
+BLOCK, SHORTEST, WIDE, LANES = LONGEST, 256, 1024, 2048
 HEAD = struct.Struct("<4sHIQQQII")
 BLOCK_HEAD = struct.Struct("<IIII")
 _LETTER, _DIGIT, _OTHER, _BLANK, _LINE, _END = range(6)
