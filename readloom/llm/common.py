@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -116,6 +117,24 @@ def portions(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     return (b.slice(at, rows) for at in range(0, b.num_rows, rows))
 
 
+def releasing(run: Callable) -> Callable:
+    """``run`` over batches; when it is through, the memory that it used goes back to the system, as the Python worker lives on with the next task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows for what is run within; for rows that hold whole texts."""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import portions, text_or_empty
+from readloom.llm.common import portions, releasing, text_or_empty
 
 WIDTH = 5
 _APART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -164,7 +164,7 @@ def contained_items(
                     [pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "containment", "n_shingles"]
                 )
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(releasing(run), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -185,5 +185,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8,
                 for part in portions(b):
                     yield part.filter(pa.array([not known.find(words_of(t.as_py()), hasher) for t in part.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(releasing(run), docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import portions, text_or_empty
+from readloom.llm.common import portions, releasing, text_or_empty
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -185,7 +185,7 @@ def quality_scores(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(releasing(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: i
             for part in portions(b):
                 yield part.filter(pa.array(_scores(scorer, part.column(at)) >= cut, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize, scratch_path, text_or_empty
+from readloom.llm.common import materialize, releasing, scratch_path, text_or_empty
 from readloom.llm.files import read_file, write_file
 from readloom.llm.rangecoder import LONGEST, decode_blocks, encode_blocks
 
@@ -361,7 +361,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             yield flush()
 
     files = materialize(
-        rows.mapInArrow(run, "name string, part int, seq int, n_docs long, n_ids long, n_bytes long"), "tok-manifest"
+        rows.mapInArrow(releasing(run), "name string, part int, seq int, n_docs long, n_ids long, n_bytes long"), "tok-manifest"
     )
     # One row per file of millions of ids.
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
@@ -384,7 +384,7 @@ def read_tokens(manifest: DataFrame, folder: str, n_files: int) -> DataFrame:
                 )
 
     files = manifest.select("name", "base").repartition(max(1, min(n_files, 10_000)))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
