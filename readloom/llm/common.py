@@ -72,12 +72,16 @@ def discard(*tables: DataFrame) -> None:
 
 
 def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
-    """Delete the scratch that came after scratch_mark() returned ``mark``, but for the table ``keep``."""
+    """Delete the scratch that came after scratch_mark() returned ``mark``, but for the table ``keep``.
+
+    Spark deletes the shuffle files of queries that nothing refers to any more when the driver's JVM collects its garbage, hence now.
+    """
     kept = None if keep is None else keep.__dict__.get("_readloom_path")
     for path in _written[mark:]:
         if path != kept:
             delete_path(spark, path)
     _written[mark:] = [] if kept is None else [kept]
+    spark._jvm.System.gc()
 
 
 def scratch_mark() -> int:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import ROW, materialize, text_or_empty, with_row_key
+from readloom.llm.common import ROW, discard_since, materialize, scratch_mark, text_or_empty, with_row_key
 from readloom.llm.components import connected_components
 from readloom.llm.similar import similar_groups, small
 
@@ -250,5 +250,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     keyed = with_row_key(docs)
     rows = keyed.select(ROW, F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    kept = similar_groups(rows).where(f"{ROW} = kept_row").select(ROW)
-    return keyed.join(small(materialize(kept, "kept")), ROW, "left_semi").select(*docs.columns)
+    mark = scratch_mark()
+    kept = materialize(similar_groups(rows).where(f"{ROW} = kept_row").select(ROW), "kept")
+    discard_since(docs.sparkSession, mark, kept)
+    return keyed.join(small(kept), ROW, "left_semi").select(*docs.columns)

@@ -193,3 +193,58 @@ def test_scratch_is_deleted(spark, data):
 def test_blocks_of_items(spark, odd):
     bench = spark.createDataFrame([(i, f"passage {i} of the benchmark that leaks") for i in range(9)] + [(9, "passage of the benchmark that leaks")], "item_id long, text string")
     assert bag(decontaminate.drop_contaminated(odd, bench, block_chars=60)) == bag(odd.where(~F.col("doc_id").eqNullSafe(7)))
+
+
+def family(copies, seed=3):
+    """Near copies of one text, most pairs of them about as similar as the wanted 0.8, and texts that share a passage only."""
+    r = np.random.default_rng(seed)
+    base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(9)]
+    docs = []
+    for i in range(copies):
+        copy = list(base)
+        for at in r.choice(120, r.integers(1, 4), replace=False):
+            copy[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(copy)))
+    docs += [(1000 + i, " ".join([f"o{i}w{k}" for k in range(20)] + passage)) for i in range(20)]
+    return docs
+
+
+def test_near_dedup_in_rounds(spark, monkeypatch):
+    """The last pairs made in many rounds lose no link; no table of the stage is left but what its result reads."""
+    from readloom.llm import common, similar
+
+    docs = family(12)
+    monkeypatch.setattr(similar, "REPS", 1)
+    monkeypatch.setattr(similar, "FIRST", 1)
+    monkeypatch.setattr(similar, "SHARE", 0.0)
+    monkeypatch.setattr(similar, "SAMPLE", 1)  # so that the passage is not known as common, and its list is long
+    monkeypatch.setattr(similar, "PAIRS", 500)
+    monkeypatch.setattr(similar, "PAIRS_A_KIND", 0)
+    rounds, counted = [], similar.rounds_of
+    monkeypatch.setattr(similar, "rounds_of", lambda *a: rounds.append(counted(*a)) or rounds[-1])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    mark = common.scratch_mark()
+    got = simhash.drop_near_duplicates(df)
+    assert common.scratch_mark() - mark <= 2  # the table with row keys, and the rows kept
+    assert bag(got) == Counter(plain_similar(docs)) and rounds[0] > 1
+
+
+def test_near_dedup_pairs_in_proportion(spark):
+    """Each kind meets a fixed number of others first, however long the lists and however many it is in."""
+    from readloom.llm import similar
+
+    rows = [(key, kind, 100) for kind in range(200) for key in range(kind % 7, 40)]
+    pairs = similar.least_neighbours(spark.createDataFrame(rows, "key long, kind long, n int")).where("a <> b").distinct()
+    assert 200 - similar.FIRST <= pairs.count() <= 200 * similar.FIRST
+
+
+def test_common_shingles_of_a_share(spark, monkeypatch):
+    """What is known as common grows with the table; of too many, the most frequent ones stay."""
+    from readloom.llm import similar
+
+    df = spark.createDataFrame([(i, f"a{i % 8} b c d e f{i}") for i in range(4000)], f"{similar.ROW} long, text string")
+    monkeypatch.setattr(similar, "SAMPLE", 4)
+    keys, often = similar.common_shingles(df, 5)
+    assert len(keys) == 8 and 250 < often.sum() < 800 and (np.diff(keys.astype(object)) > 0).all()
+    monkeypatch.setattr(similar, "COMMON", 5)
+    assert len(similar.common_shingles(df, 5)[0]) <= 5
