@@ -47,6 +47,7 @@ _FINE = np.zeros(256, bool)
 _FINE[[10, *range(32, 127), *range(0x80, 0xC0), 0xC2, 0xC3, 0xFF]] = True
 _LINES = 1000
 _SHORT = 16  # bytes of the longest piece that the table holds
+_FEW_BITS = 16  # of the slots of a table without pieces
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -92,7 +93,8 @@ class Encoder:
 
     Pieces are cut here only in plain texts, where the tokenizer's own splitting pattern has one meaning, and only if
     the tokenizer is a byte-level BPE with that pattern; all other texts, and texts that may hold one of its special tokens, go to
-    the tokenizer whole. Pieces of up to 16 bytes are found in a hash table of their bytes, all of a batch at once.
+    the tokenizer whole. Pieces of up to 16 bytes are found in a hash table of their bytes, all of a batch at once; it grows with
+    the pieces seen.
     """
 
     def __init__(self, path: str, keep: int = 2_000_000):
@@ -111,12 +113,15 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.bits = (2 * self.keep).bit_length()
-        self.keys = np.zeros((1 << self.bits, 2), np.uint64)
-        self.numbers = np.zeros(1 << self.bits, np.int32)
+        self._make_table(_FEW_BITS)
         self.long: dict[bytes, int] = {}
         self.flat, self.begins, self.known, self.filled = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
+    def _make_table(self, bits: int) -> None:
+        self.bits, self.held = bits, 0
+        self.keys = np.zeros((1 << bits, 2), np.uint64)
+        self.numbers = np.zeros(1 << bits, np.int32)
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -228,6 +233,13 @@ class Encoder:
         return number
 
     def _insert(self, w0: np.ndarray, w1: np.ndarray, number: np.ndarray) -> None:
+        """Put new pieces into the table, which is made larger before it is over half full."""
+        if 2 * (self.held + len(w0)) > 1 << self.bits:
+            old = self.keys[:, 0].nonzero()[0]
+            keys, numbers = self.keys[old], self.numbers[old]
+            self._make_table((4 * (self.held + len(w0))).bit_length())
+            self._insert(keys[:, 0], keys[:, 1], numbers)
+        self.held += len(w0)
         slot = self._slot(w0, w1)
         while len(slot):
             free = (self.keys[slot, 0] == 0).nonzero()[0]
@@ -338,7 +350,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         size = 0
 
         def flush() -> pa.RecordBatch:
-            data = pack_file(doc_ids, lengths, np.concatenate(held))
+            ids = np.concatenate(held)
+            held.clear()  # these ids are not to be held twice while they are coded
+            data = pack_file(doc_ids, lengths, ids)
             row = {"name": write_file(folder, data, ".tok"), "part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": size, "n_bytes": len(data)}
             return pa.RecordBatch.from_pylist([row], pa.schema([("name", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
