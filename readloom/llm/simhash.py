@@ -246,11 +246,11 @@ def hex_fingerprint(fp: str) -> F.Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` per group of similar texts (see similar.py), that of the least id, with all columns.
 
-    Not op1's rule: 3 of 64 bits reach few of the pairs of similarity 0.8. Rows are dropped by a key of their own, not by id.
+    Not op1's rule alone: 3 of 64 bits reach few of the pairs of similarity 0.8, so its links are the first of several. Rows are dropped by a key of their own, not by id.
     """
     keyed = with_row_key(docs)
     rows = keyed.select(ROW, F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     mark = scratch_mark()
-    kept = materialize(similar_groups(rows).where(f"{ROW} = kept_row").select(ROW), "kept")
+    kept = materialize(similar_groups(rows, link_fingerprints).where(f"{ROW} = kept_row").select(ROW), "kept")
     discard_since(docs.sparkSession, mark, kept)
     return keyed.join(small(kept), ROW, "left_semi").select(*docs.columns)

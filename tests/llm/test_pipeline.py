@@ -248,3 +248,21 @@ def test_common_shingles_of_a_share(spark, monkeypatch):
     assert len(keys) == 8 and 250 < often.sum() < 800 and (np.diff(keys.astype(object)) > 0).all()
     monkeypatch.setattr(similar, "COMMON", 5)
     assert len(similar.common_shingles(df, 5)[0]) <= 5
+
+
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    """SimHash and vantage-point trees find the pairs within reach, and the stage asks them; the exact steps find the rest."""
+    from readloom.llm import similar
+
+    base = [f"b{i}" for i in range(400)]
+    docs = [(1, " ".join(base)), (2, " ".join([*base[:-1], "z"])), (3, " ".join(f"o{i}" for i in range(400))), (4, ""), (5, " ".join(base[:380]))]
+    df = spark.createDataFrame(docs, f"{similar.ROW} long, text string").select(similar.ROW, similar.ROW, "text").toDF(similar.ROW, "doc_id", "text")
+    sets = similar.prefixes(df, 0.8, 5)
+    rows = {r.doc_id: r for r in sets.collect()}
+    seen, link = [], simhash.link_fingerprints
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda fps: seen.append(1) or link(fps))
+    near = {frozenset((r.a, r.b)) for r in similar.simhash_neighbours(sets, link).collect() if r.a != r.b}
+    plain = {frozenset((x.kind, y.kind)) for x in rows.values() for y in rows.values() if x.kind != y.kind and ((x.fp ^ y.fp) & (1 << 64) - 1).bit_count() <= 3}
+    assert near <= plain and (near or not plain)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert bag(got) == Counter(plain_similar(docs)) and seen == [1]
