@@ -28,7 +28,8 @@ _ONE = 1 << 16
 _CONTEXTS = 8  # bits of a context's hash
 _MOST = np.array([[55_000], [18_000]], np.int32)  # of 2^16 for order 2, and of what it leaves in 2^15 for order 1
 _LEAST, _RATE = 64, 5
-_RANKED = 256  # blocks that are ranked at once
+_PART = 256  # blocks whose tables are made at once, so that what goes into them stays small
+_AHEAD = 64  # steps whose slots are looked up at once
 _FIRST, _LEAST_NEW, _MOST_NEW = 64, 16, 900
 
 
@@ -97,20 +98,21 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     by_lane = np.zeros((lanes, steps), np.uint16)
     for i, b in enumerate(blocks):
         by_lane[i, : len(b)] = b
-    # The place of each id among the distinct ids of its block; those of the blocks follow one another.
-    place, kinds = np.empty((steps, lanes), np.int32), 1
-    for i in range(0, lanes, _RANKED):
-        part = by_lane[i : i + _RANKED]
+    # The place of each id among the distinct ids of its block.
+    place, kinds = np.empty((steps, lanes), np.uint16), 1
+    for i in range(0, lanes, _PART):
+        part = by_lane[i : i + _PART]
         order = np.argsort(part, axis=1, kind="stable")
-        rank = np.cumsum(_distinct(np.take_along_axis(part, order, 1)), axis=1, dtype=np.int32) - 1
+        rank = np.cumsum(_distinct(np.take_along_axis(part, order, 1)), axis=1, dtype=np.uint16) - np.uint16(1)
         kinds = max(kinds, int(rank[:, -1].max()) + 1 if steps else 1)
         own = np.empty_like(rank)
         np.put_along_axis(own, order, rank, 1)
-        place[:, i : i + _RANKED] = own.T
-    place += np.arange(lanes, dtype=np.int32) * kinds
-    ids = np.ascontiguousarray(by_lane.T).astype(np.int32)
+        place[:, i : i + _PART] = own.T
+    ids = np.ascontiguousarray(by_lane.T)
     del order, rank, own, part, by_lane
-    counts = np.zeros(lanes * kinds, np.int32)
+    counts = np.zeros((lanes, kinds), np.uint16)
+    table = np.empty((lanes, kinds), np.int32)  # the first slot of an id, and below it in _BITS + 1 bits the number of its slots
+    offset = np.arange(lanes, dtype=np.int32) * kinds
     new = np.zeros(lanes, np.int64)
     known, lane = _Contexts(lanes), np.arange(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _TOP, np.int64)
@@ -128,20 +130,25 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for begin, after in _stretches(steps):
         if begin == 0:
             limit = np.zeros(lanes, np.int32)
-            first, width = np.zeros((2, after, lanes), np.int32)
+            table[:] = 0
         else:
-            counts += np.bincount(place[last_begin:begin].ravel(), minlength=lanes * kinds).astype(np.int32)
-            table = counts.reshape(lanes, kinds)
-            upto = np.cumsum(table > 0, axis=1, dtype=np.int32)
             limit = (_SLOTS - _new_share(new, begin - last_begin)).astype(np.int32)
-            ends = upto + np.cumsum(table, axis=1, dtype=np.int32) * (limit - upto[:, -1])[:, None] // np.int32(begin)
-            begins = np.zeros_like(ends)
-            begins[:, 1:] = ends[:, :-1]
-            first, width = (a.ravel().take(place[begin:after]) for a in (begins, ends - begins))
+            for i in range(0, lanes, _PART):
+                seen = place[last_begin:begin, i : i + _PART]
+                wide = seen.shape[1]
+                counts[i : i + wide] += np.bincount((seen + offset[:wide]).ravel(), minlength=wide * kinds).reshape(wide, kinds).astype(np.uint16)
+                upto = np.cumsum(counts[i : i + wide] > 0, axis=1, dtype=np.int32)
+                ends = np.cumsum(counts[i : i + wide], axis=1, dtype=np.int32) * (limit[i : i + wide] - upto[:, -1])[:, None] // np.int32(begin)
+                ends += upto
+                table[i : i + wide] = ends
+                table[i : i + wide, 1:] += (ends[:, :-1] << _BITS + 1) - ends[:, :-1]
             new[:] = 0
         last_begin = begin
         for t in range(begin, after):
-            x, lo, wide = ids[t], first[t - begin], width[t - begin]
+            if (t - begin) % _AHEAD == 0:
+                slots = table.ravel().take(place[t : min(t + _AHEAD, after)] + offset)
+                first, width = slots >> _BITS + 1, slots & (_SLOTS << 1) - 1
+            x, lo, wide = ids[t].astype(np.int32), first[(t - begin) % _AHEAD], width[(t - begin) % _AHEAD]
             known.predict()
             hit = known.ids == x
             held = hit[0] | hit[1]
@@ -168,6 +175,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 settle(fresh)
                 new[fresh] += 1
             known.learn(x, hit)
+    del ids, place, counts, table, known
     for _ in range(3):
         out[at] = low >> 32
         low = (low & _MASK32) << 16
@@ -177,8 +185,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     rows[np.arange(len(rows))[:, None] >= used] = 0
     for k in range(len(rows) - 1, 0, -1):
         rows[k - 1] += rows[k] >> 16
-    codes = np.ascontiguousarray(rows.T).astype(">u2")
-    return [codes[i, :n].tobytes() for i, n in enumerate(used.tolist())]
+    codes = []
+    for i in range(0, lanes, _PART):
+        part = rows[:, i : i + _PART].T.astype(">u2", order="C")
+        codes += [c[:n].tobytes() for c, n in zip(part, used[i : i + _PART].tolist(), strict=True)]
+    return codes
 
 
 def _slots(ids: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +215,7 @@ def _slots(ids: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     marks = np.zeros((lanes, _SLOTS), np.uint16)
     marks.reshape(-1)[begin + (np.repeat(np.arange(lanes), kinds + 1) << _BITS)] = 1
     marks[:, 0] = 0
-    return np.cumsum(marks, axis=1, dtype=np.uint16).ravel(), more - kinds, id_ | begin << 16 | end - begin << 29
+    return np.cumsum(marks, axis=1, dtype=np.uint16), more - kinds, id_ | begin << 16 | end - begin << 29
 
 
 def decode_blocks(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
@@ -216,6 +227,7 @@ def decode_blocks(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     for i, c in enumerate(codes):
         by_lane[i, : len(c) // 2] = np.frombuffer(c, ">u2")
     words = np.ascontiguousarray(by_lane.T).ravel()
+    del by_lane
     known, lane = _Contexts(lanes), np.arange(lanes)
     rng = np.full(lanes, _TOP, np.int64)
     code = words[lane].astype(np.int64) << 32 | words[lane + lanes].astype(np.int64) << 16 | words[lane + 2 * lanes]
@@ -223,7 +235,7 @@ def decode_blocks(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     ids = np.zeros((steps, lanes), np.uint16)
     new = np.zeros(lanes, np.int64)
     base = lane << _BITS
-    which, offset, entries = np.zeros(lanes << _BITS, np.uint16), lane, np.full(lanes, _SLOTS << 29, np.int64)
+    which, offset, entries = np.zeros(lanes << _BITS, np.uint16), lane.copy(), np.full(lanes, _SLOTS << 29, np.int64)
     limit = np.zeros(lanes, np.int64)
 
     def settle(rows: np.ndarray) -> None:
@@ -236,7 +248,15 @@ def decode_blocks(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     for begin, after in _stretches(steps):
         if begin:
             share = _new_share(new, begin - last_begin)
-            (which, offset, entries), limit = _slots(ids[:begin], share), _SLOTS - share
+            parts, held, limit = [], 0, _SLOTS - share
+            del entries
+            for i in range(0, lanes, _PART):
+                which.reshape(lanes, _SLOTS)[i : i + _PART], offset[i : i + _PART], part = _slots(ids[:begin, i : i + _PART], share[i : i + _PART])
+                offset[i : i + _PART] += held
+                parts.append(part)
+                held += len(part)
+            entries = np.concatenate(parts)
+            del parts, part
             new[:] = 0
         last_begin = begin
         for t in range(begin, after):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize, releasing, scratch_path, text_or_empty
+from readloom.llm.common import batches_of, materialize, release_memory, releasing, scratch_path, text_or_empty
 from readloom.llm.files import read_file, write_file
 from readloom.llm.rangecoder import LONGEST, decode_blocks, encode_blocks
 
@@ -267,10 +267,16 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """The bytes of a file with these documents and their ids in turn; ValueError for an id that 16 bits do not hold."""
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """The ids in 16 bits; ValueError for one that they do not hold."""
     if len(ids) and int(ids.max()) >= 1 << 16:
         raise ValueError(f"id {int(ids.max())}: the format holds ids below 65536")
+    return ids.astype(np.uint16, copy=False)
+
+
+def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    """The bytes of a file with these documents and their ids in turn; ValueError for an id that 16 bits do not hold."""
+    ids = narrow(ids)
     block = SHORTEST
     while block < BLOCK and len(ids) > block * WIDE:
         block *= 2
@@ -288,7 +294,7 @@ def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) ->
     out = [HEAD.pack(MAGIC, 2, block, len(doc_ids), len(ids), len(blocks), len(index), zlib.crc32(index)), index]
     for at in range(0, len(blocks), LANES):
         group = blocks[at : at + LANES]
-        for b, code in zip(group, encode_blocks([b.astype(np.uint16) for b in group]), strict=True):
+        for b, code in zip(group, encode_blocks(group), strict=True):
             out += [BLOCK_HEAD.pack(len(b), crc_of(b), len(code), zlib.crc32(code)), code]
     return b"".join(out)
 
@@ -352,6 +358,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
             held.clear()  # these ids are not to be held twice while they are coded
+            release_memory()  # of the encoder
             data = pack_file(doc_ids, lengths, ids)
             row = {"name": write_file(folder, data, ".tok"), "part": part, "seq": seq, "n_docs": len(doc_ids), "n_ids": size, "n_bytes": len(data)}
             return pa.RecordBatch.from_pylist([row], pa.schema([("name", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
@@ -365,7 +372,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                 inside[ends - 1] = False
                 line[inside] = ids
                 doc_ids += piece.column(0).to_pylist()
-                held.append(line)
+                held.append(narrow(line))
                 lengths += (counts + 1).tolist()
                 size += len(line)
                 if size >= file_ids:
@@ -374,9 +381,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         if doc_ids:
             yield flush()
 
-    files = materialize(
-        rows.mapInArrow(releasing(run), "name string, part int, seq int, n_docs long, n_ids long, n_bytes long"), "tok-manifest"
-    )
+    with batches_of(docs.sparkSession, 512):  # else a batch holds the texts of a whole partition, here and in the JVM
+        files = materialize(
+            rows.mapInArrow(releasing(run), "name string, part int, seq int, n_docs long, n_ids long, n_bytes long"), "tok-manifest"
+        )
     # One row per file of millions of ids.
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))

@@ -1,6 +1,12 @@
 """What a worker holds grows with what it has seen."""
 
+import tracemalloc
+
+import numpy as np
+
+from readloom.llm import tokens
 from readloom.llm.queries import tokenizer_path
+from readloom.llm.rangecoder import LONGEST, decode_blocks, encode_blocks
 from readloom.llm.tokens import Encoder
 
 
@@ -19,3 +25,31 @@ def test_table_of_pieces_grows():
     assert (e.keys[:, 0] != 0).sum() == e.held <= len(e.keys) / 2
     e.forget()
     assert e.held == 0 and e(["w1x1 w1x2".encode()])[0].tolist() == e.tokenizer.encode("w1x1 w1x2", add_special_tokens=False).ids
+
+
+def test_coder_holds_few_bytes_an_id():
+    lanes = 1024
+    blocks = list((np.random.default_rng(5).zipf(1.3, (lanes, LONGEST)) % 60_000).astype(np.uint16))
+    tracemalloc.start()
+    try:
+        codes = encode_blocks(blocks)
+        coded = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        got = decode_blocks(codes, [LONGEST] * lanes)
+        decoded = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, blocks, strict=True))
+    assert coded < 20 * lanes * LONGEST and decoded < 14 * lanes * LONGEST  # 32 and 24 where the tables of all blocks were made at once
+
+
+def test_texts_come_to_the_encoder_in_small_batches(spark, monkeypatch, tmp_path):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(setting), tokens.materialize
+    monkeypatch.setattr(tokens, "materialize", lambda df, tag: (seen.append(int(spark.conf.get(setting))), write(df, tag))[1])
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1500)], "doc_id long, text string").coalesce(1)
+    manifest = tokens.write_tokens(docs, tokenizer_path(), 2, f"file://{tmp_path}/tok")
+    assert seen and max(seen) <= 512 and spark.conf.get(setting) == before
+    rows = tokens.read_tokens(manifest, f"file://{tmp_path}/tok", manifest.count())
+    assert sorted(r.doc_id for r in rows.collect()) == list(range(1500))
