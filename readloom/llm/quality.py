@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.llm.common import portions, releasing, text_or_empty
+from readloom.llm.common import portions, release_memory, releasing, text_or_empty
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -162,6 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: in
         share = (sum(truth) + 1) / (len(truth) + 2)
         return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
     table, bias = train([r.text for r in sample], truth)
+    del sample
+    release_memory()  # the driver trains, and needs it for what follows
     # The sample is drawn by class; the bias is moved so that scores follow the shares among all labels.
     ones = sum(truth)
     return table, bias + float(np.log(n[1] / n[0]) - np.log(ones / (len(truth) - ones)))

@@ -1,10 +1,15 @@
 """What a worker holds grows with what it has seen."""
 
+import re
 import tracemalloc
+from functools import partial
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 
-from readloom.llm import tokens
+from readloom.llm import quality, tokens
+from readloom.llm.common import release_memory
 from readloom.llm.queries import tokenizer_path
 from readloom.llm.rangecoder import LONGEST, decode_blocks, encode_blocks
 from readloom.llm.tokens import Encoder
@@ -53,3 +58,18 @@ def test_texts_come_to_the_encoder_in_small_batches(spark, monkeypatch, tmp_path
     assert seen and max(seen) <= 512 and spark.conf.get(setting) == before
     rows = tokens.read_tokens(manifest, f"file://{tmp_path}/tok", manifest.count())
     assert sorted(r.doc_id for r in rows.collect()) == list(range(1500))
+
+
+def test_driver_gives_back_what_training_took(monkeypatch):
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    def sample(*_):
+        return [SimpleNamespace(text=" ".join(f"w{i * k % 9973}y{k}" for k in range(1500)), quality=i % 2) for i in range(500)], {0: 250, 1: 250}
+
+    monkeypatch.setattr(quality, "training_rows", sample)
+    monkeypatch.setattr(quality, "train", partial(quality.train, steps=500))
+    release_memory()
+    before = held()
+    table, _ = quality.fit(None, None)
+    assert np.abs(table).max() > 0 and held() - before < 25
