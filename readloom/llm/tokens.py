@@ -237,7 +237,7 @@ class Encoder:
         if 2 * (self.held + len(w0)) > 1 << self.bits:
             old = self.keys[:, 0].nonzero()[0]
             keys, numbers = self.keys[old], self.numbers[old]
-            self._make_table((4 * (self.held + len(w0))).bit_length())
+            self._make_table((2 * (self.held + len(w0))).bit_length())  # twice to four times the pieces
             self._insert(keys[:, 0], keys[:, 1], numbers)
         self.held += len(w0)
         slot = self._slot(w0, w1)

@@ -73,3 +73,9 @@ def test_driver_gives_back_what_training_took(monkeypatch):
     before = held()
     table, _ = quality.fit(None, None)
     assert np.abs(table).max() > 0 and held() - before < 25
+
+
+def test_table_of_pieces_has_at_most_four_places_a_piece():
+    e = Encoder(tokenizer_path())
+    e([" ".join(f"w{i}x" for i in range(40_000)).encode()])
+    assert e.held >= 40_000 and 2 * e.held <= len(e.keys) <= 4 * e.held
