@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
-from readloom.functions.alignment import affine, edit_alignment
+from readloom.functions.alignment import affine, edit_alignment, semi_global_distance
 from readloom.operators import seeds
 
 MODES = ("exact", "fast", "sensitive", "complete")
@@ -58,20 +58,45 @@ def verified(candidates: DataFrame, ref: DataFrame, errors: int, length: int) ->
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def direct_candidates(stranded: DataFrame, ref: DataFrame, cuts: Column, sizes: list[int]) -> DataFrame:
+    """Places (tag, strand, read, seq_name, offset) that a cut (at, kmer) of a read points to, by a join with the k-mers of each size."""
+    cut = stranded.select("tag", "strand", "read", F.inline(cuts).alias("at", "kmer"))
+    out = None
+    for k in sizes:
+        hits = cut.where(F.length("kmer") == k).join(seeds.kmer_index(ref, k), "kmer")
+        out = hits if out is None else out.unionByName(hits)
+    return out.select("tag", "strand", "read", "seq_name", (F.col("offset") - F.col("at")).alias("offset"))
+
+
+def verifiable_candidates(stranded: DataFrame, ref: DataFrame, cuts: Column, sizes: list[int], errors: int, length: int) -> DataFrame:
+    """The same, but for places in plain texts about which the read does not lie with up to ``errors`` edits, as verified() would drop what they give.
+
+    Cuts much shorter than the pieces of seeds.near_places point to many such places: their number follows reads times text. Here the places of
+    matches come first; a cut that points to a window with such a match does so within the distances tried.
+    """
+    if min(sizes) >= min(length // (errors // 2 + 1), seeds.KEY) - 1:
+        return direct_candidates(stranded, ref, cuts, sizes)
+    near = seeds.near_places(stranded, ref, errors, length, indels=True).join(ref, "seq_name")
+    begin = F.greatest(F.col("offset") - 2 * errors, F.lit(0))
+    fits = semi_global_distance(F.col("read"), F.substring("text", begin + 1, F.lit(length + 5 * errors)), errors)
+    near = near.withColumn("hit", fits).where("hit.distance is not null")
+    least = F.when(F.col("offset") <= 4 * errors, F.lit(-length)).otherwise(F.col("offset") - 4 * errors)
+    tried = near.withColumn("offset", F.explode(F.sequence(least, F.col("offset") + 2 * errors)))
+    there = lambda c: (F.col("offset") + c["at"] >= 0) & (F.substring("text", F.col("offset") + c["at"] + 1, F.length(c["kmer"])) == c["kmer"])
+    cut = F.transform(cuts, lambda c: F.struct(c["offset"].alias("at"), c["kmer"].alias("kmer")))
+    exact = tried.where(F.exists(F.filter(cut, lambda c: ~c["kmer"].contains("N")), there)).select("tag", "strand", "read", "seq_name", "offset").distinct()
+    return exact.unionByName(direct_candidates(stranded, ref.where(~seeds.is_plain()), cuts, sizes))
+
+
 def seed_candidates(stranded: DataFrame, ref: DataFrame, k: int) -> DataFrame:
     """Places that a seed of k without overlap points to."""
-    cut = stranded.select("tag", "strand", "read", F.inline(S.kmers(F.col("read"), k, k)).alias("at", "kmer"))
-    return cut.join(seeds.kmer_index(ref, k), "kmer").select("tag", "strand", "read", "seq_name", (F.col("offset") - F.col("at")).alias("offset"))
+    return direct_candidates(stranded, ref, S.kmers(F.col("read"), k, k), [k])
 
 
 def neighborhood_candidates(stranded: DataFrame, ref: DataFrame, errors: int, length: int) -> DataFrame:
-    """Places that one of errors + 1 pieces points to: none with up to ``errors`` edits is missing."""
-    cut = stranded.select("tag", "strand", "read", F.inline(S.pieces(F.col("read"), errors + 1)).alias("at", "kmer"))
-    out = None
-    for k in sorted({((i + 1) * length) // (errors + 1) - (i * length) // (errors + 1) for i in range(errors + 1)}):
-        hits = cut.where(F.length("kmer") == k).join(seeds.kmer_index(ref, k), "kmer")
-        out = hits if out is None else out.unionByName(hits)
-    return out.select("tag", "strand", "read", "seq_name", (F.col("offset") - F.col("at")).alias("offset"))
+    """Places that one of errors + 1 pieces points to and that verified() does not drop: none with up to ``errors`` edits is missing."""
+    sizes = sorted({((i + 1) * length) // (errors + 1) - (i * length) // (errors + 1) for i in range(errors + 1)})
+    return verifiable_candidates(stranded, ref, S.pieces(F.col("read"), errors + 1), sizes, errors, length)
 
 
 def map_reads(reads: DataFrame, ref: DataFrame, length: int, search: Search = Search()) -> DataFrame:  # noqa: B008
@@ -87,7 +112,7 @@ def map_reads(reads: DataFrame, ref: DataFrame, length: int, search: Search = Se
     if search.mode == "complete" or search.mode == "exact":
         found = verified(neighborhood_candidates(stranded, ref, errors, length), ref, errors, length).withColumn("mcs", F.lit(errors + 1))
     else:
-        found = verified(seed_candidates(stranded, ref, k), ref, errors, length).withColumn("mcs", F.lit(length // k))
+        found = verified(verifiable_candidates(stranded, ref, S.kmers(F.col("read"), k, k), [k], errors, length), ref, errors, length).withColumn("mcs", F.lit(length // k))
         if search.mode == "sensitive":
             deep = found.where(F.col("distance") < F.col("mcs")).select("tag").distinct()
             rest = stranded.join(deep, "tag", "left_anti")
