@@ -35,9 +35,14 @@ def rank_table(index: DataFrame) -> DataFrame:
 
 
 def capped_hits(seeds: DataFrame, index: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` occurrences (by sequence and offset) of each seed (tag, at, kmer): the limit of exact hits that a search is given."""
+    """The first ``most`` occurrences (by sequence and offset) of each seed (tag, at, kmer): the limit of exact hits that a search is given.
+
+    Occurrences behind the first ``most`` of their k-mer are left out before the join, as no seed is given them; else its rows follow seeds times text.
+    """
+    own = W.partitionBy("kmer").orderBy("seq_name", "offset")
+    first = index.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= most).drop("rn")
     w = W.partitionBy("tag", "at").orderBy("seq_name", "offset")
-    return seeds.join(index, "kmer").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("tag", "at", "seq_name", "offset")
+    return seeds.join(first.hint("merge"), "kmer").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("tag", "at", "seq_name", "offset")
 
 
 def frequency(n: Column) -> Column:
