@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from readloom.operators import seeds
+from readloom.functions import sequence as S
+from readloom.operators import mapper, partitions, seeds, suffixes
 from readloom.plans import catalog
 
 
@@ -79,6 +81,35 @@ def broadcast_generators(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["JON_10_hamming_search", "JON_11_12_levenshtein_search", "JON_3_approximate_seeds"])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n.startswith(("JON_10_", "JON_11_", "JON_1_", "JON_3_", "ORC_1_", "ORC_2_", "ORC_4_", "ORC_8_", "SED_6", "SED_7", "SED_8", "SED_9", "SED_10", "WIN_10"))])
 def test_no_table_of_kmers_is_broadcast(spark, data, name):
     assert broadcast_generators(catalog.QUERIES[name](spark, data)) == 0
+
+
+def test_places_that_are_not_verified_are_left_out(world):
+    """Of all that short seeds point to the mapper takes those that verified() keeps something of; what is kept is the same."""
+    reads, ref, _, _ = world
+    stranded, cuts = mapper.both_strands(reads), S.pieces(F.col("read"), 3)
+    every = mapper.direct_candidates(stranded, ref, cuts, [8])
+    few = mapper.verifiable_candidates(stranded, ref, cuts, [8], 2, 24)
+    assert sorted(mapper.verified(few, ref, 2, 24).collect()) == sorted(mapper.verified(every, ref, 2, 24).collect())
+    assert few.count() < every.distinct().count()
+
+
+def test_piece_counts(spark):
+    """Pieces of all lengths, short ones at the end of a text and such with N among them."""
+    ref = [("a", "ACGTACGTACGTACGTACNTACGTACGTACGTACGTACG"), ("b", "TTTTTTTTTTTTTTTTTTTT"), ("c", "ACG"), ("d", "")]
+    reads = [(1, "CGTACGTACGTACGTACNT"), (2, "TTTTTTTTTTTTTTTT"), (2, "TTTTTTTTTTTTTTTT"), (3, "GG")]
+    got = partitions.piece_counts(spark.createDataFrame(reads, "tag long, read string"), spark.createDataFrame(ref, "seq_name string, text string"), range(1, 17)).collect()
+    places = lambda x, t: 0 if "N" in x else sum(t[i : i + len(x)] == x for i in range(len(t) - len(x) + 1))
+    want = [(tag, at, k, sum(places(r[at : at + k], t) for _, t in ref)) for tag, r in reads for k in range(1, 17) for at in range(len(r) - k + 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hits_behind_the_cap_are_not_joined(spark):
+    """Of 20,000 occurrences of a k-mer three are joined with each of its seeds."""
+    index = spark.range(20000).selectExpr("if(id < 0, '', 'ACGT') AS kmer", "concat('p', lpad(id, 5, '0')) AS seq_name", "7 AS offset")
+    some = spark.range(50).selectExpr("id AS tag", "8 AS at", "if(id < 0, '', 'ACGT') AS kmer")
+    df = suffixes.capped_hits(some, index, 3)
+    assert sorted((x.tag, x.seq_name) for x in df.collect()) == [(i, f"p{j:05d}") for i in range(50) for j in range(3)]
+    assert df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].count("row_number") > 0  # under the join
