@@ -113,3 +113,19 @@ def test_hits_behind_the_cap_are_not_joined(spark):
     df = suffixes.capped_hits(some, index, 3)
     assert sorted((x.tag, x.seq_name) for x in df.collect()) == [(i, f"p{j:05d}") for i in range(50) for j in range(3)]
     assert df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].count("row_number") > 0  # under the join
+
+
+def test_regions_longer_than_twelve(spark, data):
+    """A piece that occurs more than 20 times at twelve bases grows on; all lengths of a read's pieces are counted, in code and in SQL."""
+    rare = "ACGTTGCAAGCTTAGCCATGCATGGATCCTAG"
+    ref = spark.createDataFrame([(f"p{i}", "TTTTTTTTTT" + rare[18:]) for i in range(25)] + [("q", rare)], "seq_name string, text string")
+    reads = spark.createDataFrame([(1, rare)], "tag long, read string")
+    got = sorted(map(tuple, partitions.adaptive_regions(partitions.piece_counts(reads, ref, range(1, 33)), 32, 20, 4).where("stop = 32").collect()))
+    assert got == [(1, 17, 32, 1)]
+    for name in ("SED_7_adaptive_regions", "SED_10_11_12_13_scheduled_regions"):
+        assert "11, 12, 13, 14" in catalog.ORACLES[name]
+    assert "tag <= 20" not in catalog.ORACLES["SED_9_maximal_matches"]
+
+
+def test_maximal_matches_of_all_reads(spark, data):
+    assert catalog.QUERIES["SED_9_maximal_matches"](spark, data.replace("sf0.001", "sf0.01")).select("tag").distinct().count() == 100
