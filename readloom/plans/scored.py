@@ -22,7 +22,7 @@ simple("STR_9_trim_attribute", V.reads, lambda r: r.select("tag", F.concat(F.lit
        "SELECT tag, 'lt' AS side, 3 AS n, substr(read, 1, 3) AS bases, substr(qualities, 1, 3) AS quals FROM reads", "reads")
 simple("STR_14_clipping", V.reads, lambda r: r.select("tag", F.concat(F.repeat(F.lit("N"), (F.col("tag") % 3).cast("int")), F.lit("ANA"), "read", F.lit("N")).alias("u"), F.concat(F.lower(F.substring("read", 1, 4)), F.substring("read", 5, 32)).alias("m")).select("tag", Q.clipped(F.col("u"), "uncalled").alias("uncalled"), Q.clipped(F.col("m"), "masked").alias("masked"), Q.clipped(F.col("m"), "fixed", 3, 5).alias("fixed"), Q.wildcards(Q.clipped(F.col("u"), "uncalled")).alias("wild")),
        "SELECT tag, 'ANA' || read AS uncalled, substr(read, 5) AS masked, lower(substr(read, 4, 1)) || substr(read, 5, 23) AS fixed, 1 AS wild FROM reads", "reads")
-simple("STR_15_run_lengths", V.reads, lambda r: r.select("tag", Q.run_length(F.col("read"), 2).alias("rl"), F.array_join(F.transform(Q.runs(F.col("read")), lambda x: x["begin"].cast("string")), ",").alias("begins"), F.size(Q.runs(F.col("read"))).alias("n")),
+simple("STR_15_run_lengths", V.reads, lambda r: r.select("tag", "read", Q.runs(F.col("read")).alias("runs")).select("tag", Q.run_length(F.col("read"), 2).alias("rl"), F.array_join(F.transform("runs", lambda x: x["begin"].cast("string")), ",").alias("begins"), F.size("runs").alias("n")),
        "SELECT tag, list_aggregate(list_transform(list_filter(range(1, 33), lambda i: i < 3 OR read[i] <> read[i-1] OR read[i-1] <> read[i-2]), lambda i: read[i]), 'string_agg', '') AS rl,"
        " array_to_string(list_transform(list_filter(range(1, 33), lambda i: i = 1 OR read[i] <> read[i-1]), lambda i: i - 1), ',') AS begins, len(list_filter(range(1, 33), lambda i: i = 1 OR read[i] <> read[i-1]))::INT AS n FROM reads", "reads")
 simple("STR_20_string_utilities", V.reads, lambda r: r.select("tag", F.when(F.col("read") < F.col("qualities"), -1).when(F.col("read") > F.col("qualities"), 1).otherwise(0).alias("compared"), F.trim(F.concat(F.lit("  "), "read", F.lit(" "))).alias("trimmed"), F.format_string("%s-%05d", F.substring("read", 1, 4), "tag").alias("printed")),
