@@ -62,7 +62,7 @@ simple("MTH_23_curated_script", V.maps, lambda m: script2(m).select("tag", "posi
        " WHEN length >= 10 AND phred >= 10 THEN position + 1 || 'S' || length || 'M2I' || phred || 'M'"
        " WHEN length >= 10 THEN position + 1 || 'S' || length || 'M' || phred + 2 || 'S'"
        " WHEN phred >= 10 THEN position + length + 3 || 'S' || phred || 'M' ELSE '' END AS c FROM maps)", "maps")
-simple("MTH_24_script_building", V.maps, lambda m: script2(m).select("tag", "position", "length", "phred", "score", E.render_sam_cigar(E.merged(F.concat("x", F.reverse("x")))).alias("twice"), (F.reverse(F.reverse("x")) == F.col("x")).alias("same"), F.size(E.merged(F.concat("x", F.reverse("x")))).alias("n")),
+simple("MTH_24_script_building", V.maps, lambda m: script2(m).withColumn("two", E.merged(F.concat("x", F.reverse("x")))).select("tag", "position", "length", "phred", "score", E.render_sam_cigar(F.col("two")).alias("twice"), (F.reverse(F.reverse("x")) == F.col("x")).alias("same"), F.size("two").alias("n")),
        "SELECT tag, position, length, phred, score, '3D' || position + 1 + length || 'M2I' || CASE WHEN phred % 2 = 0 THEN phred || 'M2D' || phred ELSE (2 * phred)::VARCHAR END || 'M2I' || position + 1 + length || 'M3D' AS twice, true AS same, CASE WHEN phred % 2 = 0 THEN 13 ELSE 11 END - CASE WHEN length = 0 THEN 2 ELSE 0 END - CASE WHEN position = 0 THEN 2 ELSE 0 END AS n FROM maps", "maps")
 simple("SRC_16_MTH_38_md", V.maps, lambda m: m.select("tag", "position", "length", "phred", "score", F.concat(F.col("position").cast("string"), F.lit("A"), F.col("length").cast("string"), F.lit("^AC0T"), F.col("phred").cast("string")).alias("md")).withColumn("x", E.parse_md(F.col("md"))).select("tag", "position", "length", "phred", "score", F.size("x").alias("n"), E.edit_distance(F.col("x")).alias("edits"), F.array_join(F.filter(F.transform("x", lambda e: e["base"]), lambda b: b.isNotNull()), "").alias("bases"), E.render_md(F.col("x"), F.transform("x", lambda e: e["base"])).alias("back")),
        "SELECT tag, position, length, phred, score, 6 - CASE WHEN position = 0 THEN 1 ELSE 0 END - CASE WHEN length = 0 THEN 1 ELSE 0 END AS n, 4 AS edits, 'AACT' AS bases, position || 'A' || length || '^AC0T' || phred AS back FROM maps", "maps")
